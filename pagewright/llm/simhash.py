@@ -233,7 +233,8 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         names = np.concatenate((one, two))
         x, y = forest.trees()
         signed = rows.view(np.int64)
-        return pd.DataFrame({"a": list(signed[names[x]]), "b": list(signed[names[y]])})
+        # of objects, also where there are no links
+        return pd.DataFrame({c: pd.Series(list(signed[names[at]]), dtype=object) for c, at in (("a", x), ("b", y))})
 
     return _tiles(nodes, radius).groupBy("pair").applyInPandas(compare, "a array<bigint>, b array<bigint>")
 
