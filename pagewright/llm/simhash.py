@@ -36,6 +36,8 @@ from pagewright.llm._scratch import dropped, slices, written
 CHUNK = 1 << 16
 #: Most and fewest fingerprints of a tile.
 TILE, LEAST_TILE, TILES = 32768, 1024, 8
+#: Radius up to which rows are compared by cells of equal counts.
+CELL_RADIUS = 8
 #: Children of a node in the trees of links.
 FAN_OUT = 16
 SEED = 42
@@ -130,16 +132,14 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest)
     """
     ours, theirs = _Cells(a), _Cells(a if b is None else b)
     base, compared = 0 if b is None else len(a), 0
-    for (low, high), lo, hi in ours.cells():
-        for there in range(max(0, low - radius), low + radius + 1):
-            left = radius - abs(there - low)
-            s, e = theirs.range(there, high - left, high + left)
+    for lo, hi, ranges in ours.blocks(theirs, radius) if radius > CELL_RADIUS else ours.cells(theirs, radius):
+        for s, e in ranges:
             if b is None:
                 s = max(s, lo)  # each pair once
-            for at in range(lo, hi, 256):
-                end = min(hi, at + 256)
-                for s0 in range(s, e, 65536):
-                    e0 = min(e, s0 + 65536)
+            for at in range(lo, hi, 64):
+                end = min(hi, at + 64)
+                for s0 in range(s, e, 4096):  # so much fits a processor's cache
+                    e0 = min(e, s0 + 4096)
                     x, y = _near(ours.rows[at:end], theirs.rows[s0:e0], radius)
                     compared += (end - at) * (e0 - s0)
                     if len(x):
@@ -148,9 +148,19 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest)
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs within the radius; later words are looked at where the first ones leave a chance."""
-    x, y = np.nonzero(np.bitwise_count(a[:, 0, None] ^ b[None, :, 0]) <= radius)
-    if a.shape[1] > 1 and len(x):
+    """Positions of the pairs within the radius.
+
+    The first words alone exclude most pairs: as many of them are compared for all pairs
+    as make a distance over the radius likely; the rest is looked at where those leave a chance.
+    """
+    first = min(a.shape[1], radius // 24 + 1)
+    apart = np.bitwise_count(a[:, 0, None] ^ b[None, :, 0])
+    if first > 3:
+        apart = apart.astype(np.uint16)
+    for w in range(1, first):
+        apart = apart + np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    x, y = np.nonzero(apart <= radius)
+    if a.shape[1] > first and len(x):
         far = np.bitwise_count(a[x] ^ b[y]).sum(1, dtype=np.int64)
         x, y = x[far <= radius], y[far <= radius]
     return x, y
@@ -172,10 +182,20 @@ class _Cells:
         self.order = np.argsort(key, kind="stable")
         self.rows, self.key = rows[self.order], key[self.order]
 
-    def cells(self) -> Iterator[tuple[tuple[int, int], int, int]]:
+    def cells(self, other: "_Cells", radius: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """Rows of equal counts, and the rows of the other whose counts come within the radius."""
         keys, starts = np.unique(self.key, return_index=True)
         for key, s, e in zip(keys.tolist(), starts.tolist(), [*starts[1:].tolist(), len(self.key)], strict=True):
-            yield divmod(key, self.wide), s, e
+            low, high = divmod(key, self.wide)
+            left = [(there, radius - abs(there - low)) for there in range(max(0, low - radius), low + radius + 1)]
+            yield s, e, [other.range(there, high - n, high + n) for there, n in left]
+
+    def blocks(self, other: "_Cells", radius: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """The same for a wide radius: blocks of rows, and the others by the count of the low half alone."""
+        for s in range(0, len(self.key), 256):
+            e = min(len(self.key), s + 256)
+            low, high = int(self.key[s] // self.wide), int(self.key[e - 1] // self.wide)
+            yield s, e, [(other.range(max(0, low - radius), 0, 0)[0], other.range(high + radius, 0, self.wide)[1])]
 
     def range(self, low: int, high: int, upto: int) -> tuple[int, int]:
         """Rows of a low count whose high count lies between two."""
