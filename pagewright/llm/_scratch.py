@@ -41,6 +41,17 @@ def dropped(df: DataFrame) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """What a worker keeps from one task to the next: of one operator at a time, so memory stays bounded by that one."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def as_binary(column: pa.Array) -> pa.Array:
     """String (or large string) column as binary without copying the bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

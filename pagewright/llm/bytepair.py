@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagewright.llm._scratch import slices
+from pagewright.llm._scratch import kept, slices
 
 #: Entries a worker keeps of what it knows about units before it starts anew.
 CACHE_UNITS = 600_000
@@ -264,12 +264,9 @@ class UnitCache:
         return out
 
 
-_CACHES: dict[tuple, UnitCache] = {}
-
-
 def unit_cache(kind: str, path: str, learn, limit: int = CACHE_UNITS) -> UnitCache:
     """The worker's cache of one kind for one vocabulary."""
-    return _CACHES.setdefault((kind, path), UnitCache(learn, limit))
+    return kept((kind, path), lambda: UnitCache(learn, limit))
 
 
 def _digest_learner(vocab: Vocabulary):

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm._scratch import slices, written
+from pagewright.llm._scratch import kept, slices, written
 
 UNDETERMINED = "und"
 #: Bounds of the training sample and of the model.
@@ -124,7 +124,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Scorer:
     """A model in a worker, with the unseen words met so far."""
 
-    def __init__(self, model: Model, limit: int = 800_000):
+    def __init__(self, model: Model, limit: int = 300_000):
         self.model, self.limit = model, limit
         self.forget()
 
@@ -170,15 +170,9 @@ class Scorer:
         return langs, scores
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    """The worker's scorer of a model; a new model takes the place of the one before."""
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = Scorer(model)
-    return _SCORERS[model.name]
+    """The worker's scorer of a model."""
+    return kept(("language", model.name), lambda: Scorer(model))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -191,7 +185,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(sent.value)
         for batch in batches:
-            for part, texts in slices(batch, 1):
+            for part, texts in slices(batch, 1, 4 << 20):
                 langs, scores = own.classify(texts)
                 columns = [part.column(names.index(c)) for c in shown]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*shown, "lang_pred", "score"])

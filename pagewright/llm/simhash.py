@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm._scratch import dropped, slices, written
+from pagewright.llm._scratch import dropped, kept, slices, written
 
 #: Shingles hashed at once.
 CHUNK = 1 << 16
@@ -87,6 +87,7 @@ def fingerprints(df: DataFrame, shingle: int = 4, words: int = 1, id_col: str =
     """The id and fp (array of long, as signed numbers) of every whole text. Map only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("simhash",), dict)  # frees what other operators have left in this worker
         for batch in batches:
             for part, texts in slices(batch, 1):
                 found = np.array([fingerprint(t, shingle, words) for t in texts], np.uint64).view(np.int64)
