@@ -1,14 +1,15 @@
 """SimHash fingerprints and near duplicates by tiled exact comparison (operator 7).
 
 Method: each bit of a fingerprint is the majority of that bit over the hashes of all
-word shingles. Distinct fingerprints are dealt into tiles by population count; each
-pair of tiles whose counts come within the radius is one group of a grouped map,
-which compares its cells (fingerprints of equal counts in each half) by numpy
-exclusive-or and bit counts, and skips cell pairs whose counts differ beyond the
-radius. The comparison is exact and has no cap. Each group returns a spanning forest of
-its links, as trees of bounded fan-out, so no group of copies is expanded into pairs and
-no node becomes hot. Components follow by rounds of least-neighbour messages over
-those trees until nothing changes, each round written to the shared folder.
+word shingles. Distinct fingerprints are dealt into tiles by population count. First
+each tile is compared with itself, which gives every fingerprint the root of its group
+there; then each pair of tiles whose counts come within the radius. Both compare cells
+(fingerprints of equal counts in each half) by numpy exclusive-or and bit counts, and
+skip cell pairs whose counts differ beyond the radius. The comparison is exact and has
+no cap. A pair of tiles returns links between roots alone, as trees of bounded fan-out:
+no group of copies is expanded into pairs or repeated for every pair of tiles, and no
+node becomes hot. Components follow by rounds of least-neighbour messages over those
+trees until nothing changes, each round written to the shared folder.
 
 The work of the comparison grows with the square of the number of distinct
 fingerprints (less what counts exclude); all other parts grow with the rows.
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -204,10 +204,10 @@ class _Cells:
         return int(s), int(np.searchsorted(self.key, low * self.wide + min(upto, self.wide - 1), "right"))
 
 
-def _tiles(nodes: DataFrame, radius: int) -> DataFrame:
-    """Each distinct fingerprint once for each pair of tiles that its own tile belongs to: (fp, side, pair)."""
+def _dealt(nodes: DataFrame, radius: int) -> tuple[DataFrame, list[list[int]]]:
+    """Each distinct fingerprint with its tile, and for each tile the later ones whose counts come within the radius."""
     weight = F.aggregate("fp", F.lit(0), lambda s, x: s + F.bit_count(x))
-    counted = nodes.select("fp", weight.alias("weight"))
+    counted = nodes.withColumn("weight", weight)
     histogram = sorted((r["weight"], r["count"]) for r in counted.groupBy("weight").count().collect())  # bits + 1 rows at most
     total = sum(n for _, n in histogram)
     size = min(TILE, max(LEAST_TILE, -(-total // TILES)))
@@ -219,45 +219,58 @@ def _tiles(nodes: DataFrame, radius: int) -> DataFrame:
         else:
             ranges.append([weight_, weight_, max(1, -(-n // size)), n])
     bounds = [(lo, hi) for lo, hi, k, _ in ranges for _ in range(k)]
-    first, of = {}, {}
+    first, of = {0: 0}, {0: 1}
     at = 0
     for lo, hi, k, _ in ranges:
         for w, _n in histogram:
             if lo <= w <= hi:
                 first[w], of[w] = at, k
         at += k
-    tiles = len(bounds)
     pick = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), F.col("weight"))
-    partners = [[j for j in range(tiles) if bounds[max(i, j)][0] - bounds[min(i, j)][1] <= radius] for i in range(tiles)]
-    spark = nodes.sparkSession
+    partners = [[j for j in range(i + 1, len(bounds)) if bounds[j][0] - bounds[i][1] <= radius] for i in range(len(bounds))]
+    tile = (pick(first) + F.pmod(F.xxhash64("fp"), pick(of))).cast("int")
+    return counted.withColumn("tile", tile).drop("weight"), partners
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints of a column, of shape (n, words)."""
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1).view(np.uint64)
+
+
+def _within(dealt: DataFrame, radius: int) -> DataFrame:
+    """The dealt fingerprints, each with the root of its group: one of those that links inside its tile connect."""
+
+    def compare(tile: pa.Table) -> pa.Table:
+        forest = Forest(len(tile))
+        link_tiles(_words(tile["fp"]), None, radius, forest)
+        return tile.append_column("root", tile["fp"].take(pa.array(forest.root)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    return dealt.groupBy("tile").applyInArrow(compare, f"{schema}, root array<bigint>")
+
+
+def _between(groups: DataFrame, partners: list[list[int]], radius: int) -> DataFrame:
+    """Trees of links (a, b) between roots, for each pair of tiles: a group comes once, however many of its members link."""
+
+    def compare(pair: pa.Table) -> pa.Table:
+        pair = pair.sort_by("side")
+        _, first, group = np.unique(_words(pair["root"]), axis=0, return_index=True, return_inverse=True)
+        forest, cut = Forest(len(pair)), int((pair["side"].to_numpy() == 0).sum())
+        forest.root = first[group.reshape(-1)]
+        rows = _words(pair["fp"])
+        link_tiles(rows[:cut], rows[cut:], radius, forest)
+        joined = Forest(len(first))
+        _, least, of = np.unique(forest.root[first], return_index=True, return_inverse=True)
+        joined.root = least[of]
+        x, y = joined.trees()
+        return pa.table({"a": pair["root"].take(pa.array(first[x])), "b": pair["root"].take(pa.array(first[y]))})
+
+    tiles = len(partners)
+    sides = [(i, [(i * tiles + j, 0) for j in partners[i]] + [(j * tiles + i, 1) for j in range(i) if i in partners[j]]) for i in range(tiles)]
     # with as many rows as tiles: 1 for TILE fingerprints
-    near = F.broadcast(spark.createDataFrame([(i, p) for i, p in enumerate(partners)] or [(0, [0])], "tile int, partners array<int>"))
-    if not histogram:
-        return nodes.select("fp", F.lit(0).alias("side"), F.lit(0).cast("long").alias("pair"))
-    return (
-        counted.withColumn("tile", (pick(first) + F.pmod(F.xxhash64("fp"), pick(of))).cast("int"))
-        .join(near, "tile")
-        .select("fp", "tile", F.explode("partners").alias("other"))
-        .select("fp", (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.least("tile", "other").cast("long") * tiles + F.greatest("tile", "other")).alias("pair"))
-    )
-
-
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Trees of links between distinct fingerprints: (a, b), of column fp of the nodes."""
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        rows = np.array(group["fp"].tolist(), np.int64).reshape(len(group), -1).view(np.uint64)
-        side = group["side"].to_numpy()
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        forest = Forest(len(rows))
-        link_tiles(rows[one], rows[two] if len(two) else None, radius, forest)
-        names = np.concatenate((one, two))
-        x, y = forest.trees()
-        signed = rows.view(np.int64)
-        # of objects, also where there are no links
-        return pd.DataFrame({c: pd.Series(list(signed[names[at]]), dtype=object) for c, at in (("a", x), ("b", y))})
-
-    return _tiles(nodes, radius).groupBy("pair").applyInPandas(compare, "a array<bigint>, b array<bigint>")
+    near = F.broadcast(groups.sparkSession.createDataFrame(sides or [(0, [])], "tile int, pairs array<struct<pair:long,side:int>>"))
+    spread = groups.join(near, "tile").select("fp", "root", F.explode("pairs").alias("p")).select("fp", "root", "p.*")
+    return spread.groupBy("pair").applyInArrow(compare, "a array<bigint>, b array<bigint>")
 
 
 def components(edges: DataFrame, values: DataFrame) -> DataFrame:
@@ -283,12 +296,15 @@ def components(edges: DataFrame, values: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, fp and component_id, the least id reachable over links within the radius."""
     marks = written(fingerprints(df, shingle, words, id_col, text_col), "marks")
-    nodes = written(marks.groupBy("fp").agg(F.min(id_col).alias("value")), "nodes")
-    edges = written(links(nodes, radius), "links")
-    labels = components(edges, nodes)
-    # one row for each distinct fingerprint, written so that both sides of the join are dealt anew and skew can be split
-    named = written(nodes.join(labels.select(F.col("fp"), F.col("component")), "fp", "left").select("fp", F.coalesce("component", "value").alias("component_id")), "named")
-    for done in (edges, labels, nodes):
+    dealt, partners = _dealt(marks.groupBy("fp").agg(F.min(id_col).alias("value")), radius)
+    groups = written(_within(dealt, radius), "groups")
+    edges = written(_between(groups, partners, radius), "links")
+    roots = written(groups.groupBy(F.col("root").alias("fp")).agg(F.min("value").alias("value")), "roots")
+    labels = components(edges, roots)
+    # tables are written so that both sides of a join are dealt anew and skew can be split
+    ends = written(roots.join(labels, "fp", "left").select(F.col("fp").alias("root"), F.coalesce("component", "value").alias("component_id")), "ends")
+    named = written(groups.select("fp", "root").join(ends, "root").select("fp", "component_id"), "named")
+    for done in (edges, labels, roots, groups, ends):
         dropped(done)
     return marks.join(named, "fp").select(F.col(id_col), "fp", "component_id")
 

@@ -258,3 +258,17 @@ def test_queries_equal_their_sql(spark, name):
     want = sorted(map(repr, con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()))
     got = sorted(repr(tuple(r)) for r in QUERIES[name](spark, "/root/testdata/sf0.001").select(*columns).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("radius", [4, 14])
+def test_groups_over_many_tiles_equal_one_tile(spark, radius, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    base = " ".join(rng.choice(words) for _ in range(120))
+    texts = [f"{base} tail{i} {rng.choice(words)}" for i in range(150)] + [" ".join(rng.choice(words) for _ in range(60)) for _ in range(100)]
+    docs = spark.createDataFrame([(None if i % 50 == 7 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    take = lambda: sorted((str(r["doc_id"]), tuple(r["fp"]), r["component_id"]) for r in simhash.near_duplicates(docs, radius=radius).collect())
+    whole = take()
+    monkeypatch.setattr(simhash, "LEAST_TILE", 4)
+    monkeypatch.setattr(simhash, "TILES", 40)
+    assert take() == whole
