@@ -131,6 +131,8 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, forest: Forest)
 
     Both have shape (n, words). Returns how many pairs were compared.
     """
+    if not len(a) or (b is not None and not len(b)):  # a tile by hash may be empty
+        return 0
     ours, theirs = _Cells(a), _Cells(a if b is None else b)
     base, compared = 0 if b is None else len(a), 0
     for lo, hi, ranges in ours.blocks(theirs, radius) if radius > CELL_RADIUS else ours.cells(theirs, radius):
