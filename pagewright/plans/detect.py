@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import code_flags, split_lines
+from pagewright.operators.cv_rules import CV_RULES, looks_like_cv, with_cv
 from pagewright.operators.source_rules import SOURCE_RULES
 from pagewright.operators.structure_rules import STRUCTURE_RULES
 from pagewright.sources.markdown import with_blocks
@@ -29,6 +30,15 @@ def structure_issues(docs: DataFrame, rules: Iterable[str] = tuple(STRUCTURE_RUL
     return ready.select(id_col, F.explode(found).alias("x")).select(id_col, "x.*")
 
 
+def cv_issues(docs: DataFrame, rules: Iterable[str] = tuple(CV_RULES), cv: bool | None = True, id_col: str = "doc_id") -> DataFrame:
+    """Issues of the chosen CV rules: of all documents, or if ``cv`` is None of those that look like a CV. Map only after the parse."""
+    ready = with_cv(with_blocks(docs, id_col))
+    if cv is None:
+        ready = ready.filter(looks_like_cv(F.col("cv")))
+    found = F.concat(*[CV_RULES[r](F.col("cv")) for r in rules])
+    return ready.select(id_col, F.explode(found).alias("x")).select(id_col, "x.*")
+
+
 def detect(docs: DataFrame, disabled: Iterable[str] = (), severities: dict[str, str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """All issues with seq, their place in the document's list: by line (none is 0), rule, and order of finding.
 
