@@ -86,12 +86,17 @@ def _bullets(blocks: Column) -> Column:
     return F.flatten(F.transform(F.filter(told, lambda x: x["text"] != ""), lambda x: F.array_repeat(x["text"], x["n"])))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The table with a column that is computed once a row, however often later expressions read it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def with_cv(df: DataFrame) -> DataFrame:
     """The table with ``cv``: struct(header, links, sections, bullets) of its blocks."""
     top = F.filter("blocks", lambda b: b["parent_id"].isNull())
-    df = df.withColumn("__top", top).withColumn("__level", _section_level(F.col("__top")))
+    df = _once(_once(df, "__top", top), "__level", _section_level(F.col("__top")))
     starts = F.filter(F.transform("__top", lambda b, i: F.when((b["kind"] == "heading") & (b["level"] == F.col("__level")), i)), lambda i: i.isNotNull())
-    df = df.withColumn("__starts", starts)
+    df = _once(df, "__starts", starts)
     stop = lambda k: F.coalesce(F.get("__starts", k + 1), F.size("__top"))
     title = lambda s: strip(F.get("__top", s)["text"])
     sections = F.transform("__starts", lambda s, k: F.struct(title(s).alias("title"), classify(title(s)).alias("kind"), F.col("__level").alias("level"), _entries(F.col("__top"), s, stop(k)).alias("entries")))
@@ -103,7 +108,7 @@ def with_cv(df: DataFrame) -> DataFrame:
         sections.alias("sections"),
         _bullets(F.col("blocks")).alias("bullets"),
     )
-    return df.withColumn("cv", cv).drop("__top", "__level", "__starts")
+    return _once(df, "cv", cv).drop("__top", "__level", "__starts")
 
 
 def _kinds(cv: Column) -> Column:
