@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import FENCE, LINE_END, WS, split_lines
+from pagewright.operators.formatting import format_documents
 from pagewright.operators.source_rules import SOURCE_RULES
 from pagewright.operators.structure_rules import DATE_STYLES, STRUCTURE_RULES
 from pagewright.plans import detect
@@ -52,6 +53,11 @@ def blocks_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("doc_id", F.col("b.language").alias("language"), F.col("b.code").alias("code"))
 
 
+def format_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical Markdown of each document; beyond SQL, tests hold it against expected texts and itself."""
+    return format_documents(markdown_documents(spark, sf_dir))
+
+
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(markdown_documents(spark, sf_dir))
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "detect_all": detect_all,
     "config_apply": config_apply,
     "issue_summary": issue_summary,
+    "format_markdown": format_markdown,
 }
 
 #: Lines of the source with their numbers and whether they are code.

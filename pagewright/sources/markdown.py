@@ -95,7 +95,7 @@ def _blocks(lines: list[str]) -> list[dict]:
             while j < n and lines[j].strip() and not _interrupts(lines[j]):
                 rows.append((_cells(lines[j]) + [""] * len(header))[: len(header)])
                 j += 1
-            out.append({"kind": "table", "header": [inline(c) for c in header], "rows": [[inline(c) for c in r] for r in rows]})
+            out.append({"kind": "table", "header": [inline(c) for c in header], "rows": [[inline(c) for c in r] for r in rows], "alignments": [_side(c) for c in _cells(lines[i + 1])]})
             i = j
         else:
             j, level = i + 1, None
@@ -158,6 +158,11 @@ def _cells(line: str) -> list[str]:
     return [p.strip().replace("\\|", "|") for p in parts]
 
 
+def _side(cell: str) -> str | None:
+    """The alignment that a delimiter cell names."""
+    return {(True, True): "center", (True, False): "left", (False, True): "right"}.get((cell.startswith(":"), cell.endswith(":")))
+
+
 def inline(text: str) -> list[dict]:
     """The runs of inline text; neighbours of equal marks are one run."""
     pieces, marks, i, n = [], [], 0, len(text)  # pieces: strings, finished runs, or delimiters
@@ -216,7 +221,7 @@ def inline(text: str) -> list[dict]:
             if c == "!":
                 alt = "".join(r["text"] for r in inline(label))
                 quoted_ = f' "{title}"' if title else ""
-                pieces.append({"text": f"![{alt}]({target}{quoted_})", "raw": True, "image": {"src": target, "alt": alt}})
+                pieces.append({"text": f"![{alt}]({target}{quoted_})", "raw": True, "image": {"src": target, "alt": alt, "title": title}})
             else:
                 pieces.extend({**r, "link": target} for r in inline(label))
             i = end
@@ -304,7 +309,7 @@ def flatten(tree: list[dict]) -> list[dict]:
 
     def visit(nodes: list[dict], parent: dict | None) -> None:
         for seq, node in enumerate(nodes):
-            row = {k: v for k, v in node.items() if k not in ("children", "header", "rows")}
+            row = {k: v for k, v in node.items() if k not in ("children", "header", "rows", "title", "alignments")}
             row |= {"block_id": len(rows), "parent_id": parent and parent["block_id"], "parent_kind": parent and parent["kind"], "seq": seq, "depth": parent["depth"] + 1 if parent else 0}
             cells = [node["header"], *node["rows"]] if node["kind"] == "table" else []
             if cells:
