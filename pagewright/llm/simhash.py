@@ -22,7 +22,7 @@ are ignored; texts are taken whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,40 +57,56 @@ def _mixed(h: np.ndarray, w: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _counts(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int, words: int) -> np.ndarray:
-    """How often each bit, the highest first, is set over the hashes of the spans, for each 64-bit word."""
-    hash_ = xxhash.xxh64_intdigest
-    total = np.zeros((words, 8, 8), np.int64)  # word, byte from the lowest, bit from the lowest
-    for at in range(0, len(starts), CHUNK):
-        h = np.array([hash_(data[s:e], seed) for s, e in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)], np.uint64)
-        cuts = np.arange(0, len(h), 255)  # so many ones fit the eight counters of a number
-        for w in range(words):
-            sums = np.add.reduceat((_mixed(h, w) >> _SHIFTS) & _LANES, cuts, axis=1)
-            total[w] += sums.astype("<u8", copy=False).view(np.uint8).reshape(8, -1, 8).sum(1, dtype=np.int64).T
-    return total[:, ::-1, ::-1].reshape(-1)
-
-
-def fingerprint(text: bytes, shingle: int = 4, words: int = 1, seed: int = SEED) -> np.ndarray:
-    """The fingerprint of a text as 64-bit words, the highest bit first."""
+def _hashes(text: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, CHUNK at once; the whole of a text of fewer words is one shingle."""
     parts = text.lower().split()  # of bytes: A-Z alone, and ASCII white space
     if not parts:
-        return np.zeros(words, np.uint64)
+        return
     data = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - shingle + 1)
-    bits = _counts(data, starts[:n], ends[-n:], seed, words) * 2 > n
+    starts, ends, hash_ = starts[:n], ends[-n:], xxhash.xxh64_intdigest
+    for at in range(0, n, CHUNK):
+        yield np.array([hash_(data[s:e], seed) for s, e in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)], np.uint64)
+
+
+def shingle_set(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle, seed)]))
+
+
+def _counts(chunks: Iterable[np.ndarray], words: int) -> tuple[np.ndarray, int]:
+    """How often each bit, the highest first, is set over the hashes, for each 64-bit word; and how many hashes there are."""
+    total, n = np.zeros((words, 8, 8), np.int64), 0  # word, byte from the lowest, bit from the lowest
+    for h in chunks:
+        n += len(h)
+        cuts = np.arange(0, len(h), 255)  # so many ones fit the eight counters of a number
+        for w in range(words):
+            sums = np.add.reduceat((_mixed(h, w) >> _SHIFTS) & _LANES, cuts, axis=1)
+            total[w] += sums.astype("<u8", copy=False).view(np.uint8).reshape(8, -1, 8).sum(1, dtype=np.int64).T
+    return total[:, ::-1, ::-1].reshape(-1), n
+
+
+def fingerprint(text: bytes, shingle: int = 4, words: int = 1, seed: int = SEED, distinct: bool = False) -> np.ndarray:
+    """The fingerprint of a text as 64-bit words, the highest bit first; with ``distinct`` repeated shingles count once."""
+    chunks = _hashes(text, shingle, seed)
+    if distinct:
+        own = shingle_set(text, shingle, seed)
+        chunks = (own[at : at + CHUNK] for at in range(0, len(own), CHUNK))
+    counts, n = _counts(chunks, words)
+    bits = counts * 2 > n
     return np.packbits(bits.reshape(words, 64), axis=1).view(">u8").reshape(words).astype(np.uint64)
 
 
-def fingerprints(df: DataFrame, shingle: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, shingle: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """The id and fp (array of long, as signed numbers) of every whole text. Map only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(("simhash",), dict)  # frees what other operators have left in this worker
         for batch in batches:
             for part, texts in slices(batch, 1):
-                found = np.array([fingerprint(t, shingle, words) for t in texts], np.uint64).view(np.int64)
+                found = np.array([fingerprint(t, shingle, words, distinct=distinct) for t in texts], np.uint64).view(np.int64)
                 fp = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, words), pa.int32()), pa.array(found.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), fp], names=[id_col, "fp"])
 
@@ -295,9 +311,9 @@ def components(edges: DataFrame, values: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """Every row's id, fp and component_id, the least id reachable over links within the radius."""
-    marks = written(fingerprints(df, shingle, words, id_col, text_col), "marks")
+    marks = written(fingerprints(df, shingle, words, id_col, text_col, distinct), "marks")
     dealt, partners = _dealt(marks.groupBy("fp").agg(F.min(id_col).alias("value")), radius)
     groups = written(_within(dealt, radius), "groups")
     edges = written(_between(groups, partners, radius), "links")
