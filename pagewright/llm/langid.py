@@ -38,6 +38,8 @@ ROWS_PER_LANGUAGE, MAX_WORDS, MAX_LANGUAGES, LONGEST = 2000, 50_000, 256, 4
 _LETTERS = regex.compile(r"\p{L}+")
 #: Words of whose evidence a certain document needs at least so many.
 EVIDENCE = 10
+#: Log frequency of a trigram never seen, against the typical one, however much was learned from.
+UNSEEN = -10.0
 
 
 @dataclass
@@ -68,6 +70,15 @@ class Model:
         return _shares(sums / sizes[:, None]), unknown
 
 
+    def typical(self) -> np.ndarray:
+        """For each language the mean log frequency of a trigram of its labelled rows."""
+        logs = self.table[list(self.grams[2].values())]
+        if not len(logs):
+            return np.zeros(len(self.languages))
+        p = np.exp(logs)
+        return (p * logs).sum(0) / p.sum(0)
+
+
 def _shares(scores: np.ndarray) -> np.ndarray:
     """Log shares that sum to one over the last axis."""
     top = scores.max(-1, keepdims=True)
@@ -125,13 +136,45 @@ class Scorer:
     """A model in a worker, with the unseen words met so far."""
 
     def __init__(self, model: Model, limit: int = 300_000):
-        self.model, self.limit = model, limit
+        self.model, self.limit, self.typical = model, limit, None
         self.forget()
 
     def forget(self) -> None:
         self.rows = dict(self.model.words)
         self.table = self.model.table
         self.used = 0 if self.table is None else len(self.table)
+        self.fluent: dict[str, int] = {}
+        self.sums = np.zeros((0, len(self.model.languages) + 1))
+
+    def fluency(self, words: list[str], language: str) -> float:
+        """Mean log frequency of the words' trigrams in a language, less the mean of its labelled rows.
+
+        Unlike the score it does not depend on which other languages there are.
+        """
+        if self.typical is None:
+            self.typical = self.model.typical()
+        typical, unseen = self.typical, self.typical + UNSEEN
+        new = [w for w in dict.fromkeys(words) if w not in self.fluent]
+        if new:
+            get, made = self.model.grams[2].get, np.zeros((len(new), self.sums.shape[1]))
+            for at, word in enumerate(new):
+                framed = f"^{word}$"
+                rows = [get(framed[i : i + 3]) for i in range(len(framed) - 2)]
+                seen = [r for r in rows if r is not None]
+                made[at, :-1] = np.maximum(self.model.table[seen], unseen).sum(0) + (len(rows) - len(seen)) * unseen
+                made[at, -1] = len(rows)
+            if len(self.fluent) + len(new) > len(self.sums):
+                self.sums = np.concatenate((self.sums[: len(self.fluent)], np.zeros((max(len(new), len(self.fluent)), self.sums.shape[1]))))
+            self.sums[len(self.fluent) : len(self.fluent) + len(new)] = made
+            self.fluent.update(zip(new, range(len(self.fluent), len(self.fluent) + len(new)), strict=True))
+        own, total = self.model.languages.index(language), self.sums[[self.fluent[w] for w in words]].sum(0)
+        return float(total[own] / total[-1] - typical[own])
+
+    def fluencies(self, texts: list[bytes], langs: list[str]) -> list[float | None]:
+        """The fluency of each text in its language; none for those undetermined."""
+        if len(self.fluent) > self.limit:
+            self.forget()
+        return [None if x == UNDETERMINED else self.fluency(_LETTERS.findall(t.decode().lower()), x) for t, x in zip(texts, langs, strict=True)]
 
     def learn(self, words: list[str]) -> None:
         shares, unknown = self.model.backoff(words)
@@ -175,8 +218,8 @@ def scorer(model: Model) -> Scorer:
     return kept(("language", model.name), lambda: Scorer(model))
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the columns named in keep, lang_pred and score of every whole text. Map only."""
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), fluency: bool = False) -> DataFrame:
+    """The id, the columns named in keep, lang_pred and score (on demand also the fluency) of every whole text. Map only."""
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded: at most (1 + LONGEST) * max_words rows
     names = [id_col, text_col, *[c for c in keep if c not in (id_col, text_col)]]
@@ -188,8 +231,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for part, texts in slices(batch, 1, 4 << 20):
                 langs, scores = own.classify(texts)
                 columns = [part.column(names.index(c)) for c in shown]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*shown, "lang_pred", "score"])
+                more = [pa.array(own.fluencies(texts, langs), pa.float64())] if fluency else []
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=[*shown, "lang_pred", "score", *(["fluency"] if fluency else [])])
 
     fields = df.select(*[F.col(c) for c in names]).schema
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in shown) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in shown) + ", lang_pred string, score double" + (", fluency double" if fluency else "")
     return df.select(*[F.col(c) for c in names]).mapInArrow(run, schema)

@@ -4,6 +4,8 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagewright.llm import jaccard
@@ -66,3 +68,17 @@ def test_similar_equals_all_pairs():
             if similarity(set(sets[i].tolist()), set(sets[j].tolist())) >= Fraction(4, 5):
                 root[root == max(root[i], root[j])] = min(root[i], root[j])
     assert (got == root).all()
+
+
+@pytest.mark.parametrize("languages", [["en"], ["en", "fr"], ["de", "en", "es", "fr"]])
+def test_language_stage_rejects_gibberish_alone(spark, languages):
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isin(languages))
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n)) for n in (5, 50, 500) * 20]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными"]
+    rows = [(1_000_000 + i, t, "en" if i % 20 == 0 else None, "x", len(t)) for i, t in enumerate(junk)]
+    planted = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, planted, "").select("doc_id").collect()}
+    assert not {i for i in kept if i >= 1_000_000}
+    gone = docs.filter(~F.col("doc_id").isin(sorted(kept))).collect()
+    assert not gone, gone
