@@ -1,8 +1,11 @@
 """Licence recognition by sentences and rules (operator 9). DataFrame functions only.
 
-Method: a text is cut into sentences; each is normalised (lower case, every run of
-other characters than a-z and 0-9 one space) and looked up among known licence
-sentences, which gives the sequence of their identifiers in the text. The ordered rules
+Method: a text is normalised (lower case, every run of other characters than a-z and
+0-9 one space, or a mark where the run holds the end of a sentence or line). A known
+licence sentence is found where its words stand between two marks; marks among its words
+are passed over, so it may be wrapped over lines, with or without comment signs, and hold
+punctuation, but not a blank line. The first and longest is taken, and the search goes on
+after it, which gives the sequence of their identifiers in the text. The ordered rules
 each name a licence and a sequence of identifiers; a rule holds if its sequence stands
 in the text's sequence without a gap, and the first rule that holds gives the licence.
 
@@ -68,16 +71,20 @@ BOUNDARY = "[.!?;:]+[ \t\r\n\f]+|\n+"
 OTHER = "[^a-z0-9]+"
 
 
+#: Two line ends with neither a letter nor a digit between, and what follows.
+PARAGRAPH = "\n[^a-z0-9\n]*\n[^a-z0-9]*"
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for id_, s in sentences.items() for x in (s, id_)])
-    lengths = [len(s) for s in sentences.values()]
-    cut = F.filter(F.split(F.coalesce(text, F.lit("")), BOUNDARY), lambda s: F.length(s) >= min(lengths))
-    # a sentence of no known first character has no identifier
-    firsts = "".join(sorted({s[0] for s in sentences.values()}))
-    likely = F.filter(cut, lambda s: s.rlike(f"^[^A-Za-z0-9]*[{firsts}{firsts.upper()}]"))
-    normal = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    # upper-case letters mark the ends of paragraphs (P) and sentences or lines (S)
+    marked = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PARAGRAPH, "P"), BOUNDARY, "S")
+    normal = F.concat(F.lit("P"), F.regexp_replace(marked, "[^a-z0-9PS]+", " "), F.lit("P"))
+    longest_first = sorted(sentences.values(), key=lambda s: (-len(s), s))
+    any_known = "|".join(s.replace(" ", "[ S]+") for s in longest_first)
+    found = F.regexp_extract_all(normal, F.lit(f"[PS] ?({any_known})(?= ?[PS])"), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "[ S]+", " ")))
 
 
 def recognise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
