@@ -57,6 +57,13 @@ def test_near_duplicates_are_decided_by_exact_similarity(spark):
     assert one == many and len(set(one.values())) == len(set(root))
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (None, a), (None, a + " end"), (None, b), (None, b), (7, c), (7, c), (9, c + " end"), (7, a + " end")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (None, b), (7, c)], key=str)
+
+
 def test_similar_equals_all_pairs():
     rng = np.random.default_rng(6)
     sets = [rng.choice(14, rng.integers(0, 14), replace=False) for _ in range(120)]
