@@ -4,8 +4,10 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pagewright.llm import jaccard
@@ -89,3 +91,31 @@ def test_language_stage_rejects_gibberish_alone(spark, languages):
     assert not {i for i in kept if i >= 1_000_000}
     gone = docs.filter(~F.col("doc_id").isin(sorted(kept))).collect()
     assert not gone, gone
+
+
+def test_run_equals_plain_stages(spark, tmp_path):
+    rng = random.Random(11)
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en' and n_chars between 800 and 3000").orderBy("doc_id").limit(60).collect()]
+    pages = [f"Welcome to the site\n{t}" for t in real[:25]]
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)) for _ in range(3)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(pages)]
+    rows += [(100 + i, t, "en", f"s{i}", 0) for i, t in enumerate(real[25:])]
+    rows += [(200 + i, t, None, f"j{i}", 0) for i, t in enumerate(junk)]
+    rows += [(300, real[30], "en", "b", 0), (301, real[31] + " and more", "en", "b", 0), (None, real[32], "en", "b", 0), (None, real[33] + " this stays out", "en", "b", 0), (302, None, "en", "b", 0)]
+    schema = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").schema
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    # plain: gibberish and null go by number; the header goes from host a alone, as do its lines of more than a tenth of 25 pages
+    left = [(i, t, h) for i, t, _, h, _ in rows if t is not None and not (i or 0) in range(200, 203)]
+    own = [t for _, t, h in left if h == "a"]
+    often = {x.strip() for t in own for x in t.split("\n") if x.strip() and sum(x.strip() in {y.strip() for y in u.split("\n")} for u in set(own)) > 0.1 * len(set(own))}
+    assert "Welcome to the site" in often
+    cleaned = [(i, "\n".join(x for x in t.split("\n") if h != "a" or x.strip() not in often)) for i, t, h in left]
+    root = plain_groups([t for _, t in cleaned])
+    want = {}
+    for r in set(root):
+        i, t = min((c for c, x in zip(cleaned, root, strict=True) if x == r), key=lambda c: (c[0] is None, c[0] or 0))
+        want[i] = t
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == sizes
