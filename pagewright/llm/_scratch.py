@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where it is unset and there are no other machines."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='pagewright-')}"
         spark.sparkContext.setCheckpointDir(conf)
         conf = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -24,10 +26,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors.
+
+    What :func:`dropped` does not delete before, as results still read it, goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/pw-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._pw_path = path
     return out
@@ -35,10 +42,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing reads any more."""
-    path = df._pw_path
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _file_system(df.sparkSession, df._pw_path)
+    files.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """The name, with underscores before it until no column has it (whatever the case of its letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 _KEPT: dict[tuple, object] = {}
