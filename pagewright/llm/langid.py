@@ -6,35 +6,44 @@ so on down to single characters; a word of which nothing is known counts for not
 Each word's scores are put on one scale (log shares that sum to one), and a document's
 score is their sum over all its words.
 
-Training counts words and n-grams with DataFrame operations over a sample of the
-labelled rows of at most about ``rows_per_language`` for each language, chosen by a
-hash of the id, and keeps the ``max_words`` most frequent words and as many n-grams of
-each length, so the model that goes to the workers is bounded whatever the corpus is.
+Training counts all words and n-grams of a sample of the labelled rows. The sample is the
+one bound: about ``rows_per_language`` distinct rows of each language and ``sample_rows``
+of all, chosen by a hash of id and text; every label and n-gram in it is kept, and every
+word that occurs ``least_count`` times (a rarer one tells less than its n-grams). The
+model holds the counts that occur, so it grows with the sample and not with words times
+languages; a worker unfolds words to all languages within ``CACHE_BYTES``.
 
 Defined results for odd input: null text, or text without a letter, is ``und`` with
 score 0; so is every text if there is nothing to learn from; a null id is never held
-out, and its rows are trained on like others; repeated rows get equal results;
-an empty table gives an empty result; other columns are ignored; whole texts are scored.
+out, and its rows are trained on like others; a repeated row is learned from once;
+repeated rows get equal results; an empty table gives an empty result; other columns are
+ignored, and kept ones may not have the names of results (``prefix`` renames those);
+whole texts are scored.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm._scratch import kept, slices, written
+from pagewright.llm._scratch import dropped, kept, slices, written
 
 UNDETERMINED = "und"
-#: Bounds of the training sample and of the model.
-ROWS_PER_LANGUAGE, MAX_WORDS, MAX_LANGUAGES, LONGEST = 2000, 50_000, 256, 4
+#: Bounds of the training sample: distinct rows of a language, and of all. Longest n-grams.
+ROWS_PER_LANGUAGE, SAMPLE_ROWS, LONGEST = 2000, 40_000, 4
+#: Times that a word occurs in the sample if it counts as known.
+LEAST_COUNT = 3
+#: Words and bytes of their scores that a worker keeps.
+CACHE_WORDS, CACHE_BYTES = 300_000, 96 << 20
 _LETTERS = regex.compile(r"\p{L}+")
 #: Words of whose evidence a certain document needs at least so many.
 EVIDENCE = 10
@@ -42,41 +51,72 @@ EVIDENCE = 10
 UNSEEN = -10.0
 
 
+@dataclass
+class Level:
+    """Log frequencies of words, or of n-grams of one length: those that occur, and for each language that of any other."""
+
+    rows: dict[str, int]
+    starts: np.ndarray
+    langs: np.ndarray
+    logs: np.ndarray
+    rest: np.ndarray
+
+    @classmethod
+    def of(cls, counts: pd.DataFrame, n: int) -> "Level":
+        """From columns key, lang (a number under n) and n; each pair once."""
+        counts = counts.sort_values(["key", "lang"])
+        codes, keys = pd.factorize(counts["key"])
+        langs, times = counts["lang"].to_numpy(np.intp), counts["n"].to_numpy(float)
+        all_ = np.log(np.bincount(langs, times, n) + 0.5 * max(1, len(keys)))
+        return cls({k: i for i, k in enumerate(keys)}, np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(keys))))), langs, np.log(times + 0.5) - all_[langs], np.log(0.5) - all_)
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        """The log frequencies of some rows in all languages."""
+        out = np.tile(self.rest, (len(rows), 1))
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes)
+        out[np.repeat(np.arange(len(rows)), sizes), self.langs[at]] = self.logs[at]
+        return out
+
+    def typical(self) -> np.ndarray:
+        """For each language the mean log frequency, every entry weighted by its frequency."""
+        n = len(self.rest)
+        others = len(self.rows) - np.bincount(self.langs, minlength=n)
+        p, rest = np.exp(self.logs), np.exp(self.rest)
+        total = np.bincount(self.langs, p, n) + others * rest
+        return np.divide(np.bincount(self.langs, p * self.logs, n) + others * rest * self.rest, total, out=np.zeros(n), where=total > 0)
+
+
 @dataclass
 class Model:
-    """Log shares of each known word and n-gram (between word borders) over the languages."""
+    """Known words, and n-grams (between word borders) by length from 1."""
 
     languages: list[str]
-    words: dict[str, int] = field(default_factory=dict)
-    grams: list[dict[str, int]] = field(default_factory=list)  # by length from 1
-    table: np.ndarray | None = None  # rows of words and n-grams, last row zero
+    words: Level | None = None
+    grams: list[Level] = field(default_factory=list)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def backoff(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log shares of unseen words, and of which of them nothing is known (their rows mean nothing)."""
-        lists, unknown = [], np.zeros(len(words), bool)
-        levels = [(n, self.grams[n - 1].get) for n in range(len(self.grams), 0, -1)]
-        for at, word in enumerate(words):
-            framed = f"^{word}$"
-            for n, get in levels:
-                rows = [r for r in [get(framed[i : i + n]) for i in range(len(framed) - n + 1)] if r is not None]
-                if rows:
-                    break
-            else:
-                rows, unknown[at] = [len(self.table) - 1], True
-            lists.append(rows)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        sums = np.add.reduceat(self.table[np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum())], np.cumsum(sizes) - sizes)
-        return _shares(sums / sizes[:, None]), unknown
-
-
-    def typical(self) -> np.ndarray:
-        """For each language the mean log frequency of a trigram of its labelled rows."""
-        logs = self.table[list(self.grams[2].values())]
-        if not len(logs):
-            return np.zeros(len(self.languages))
-        p = np.exp(logs)
-        return (p * logs).sum(0) / p.sum(0)
+    def shares(self, words: list[str]) -> np.ndarray:
+        """Log shares over the languages of each word; zero if nothing is known of it."""
+        out, unseen = np.zeros((len(words), len(self.languages))), []
+        known = self.words.rows.get
+        rows = [known(w, -1) for w in words]
+        at = np.flatnonzero(np.array(rows, np.intp) >= 0)
+        if len(at):
+            out[at] = _shares(self.words.dense(np.array(rows, np.intp)[at]))
+        unseen = [(i, f"^{w}$") for i, (w, r) in enumerate(zip(words, rows, strict=True)) if r < 0]
+        for level, n in zip(reversed(self.grams), range(len(self.grams), 0, -1), strict=True):
+            get, found, left = level.rows.get, [], []
+            for i, framed in unseen:
+                own = [r for r in (get(framed[j : j + n]) for j in range(len(framed) - n + 1)) if r is not None]
+                found.append((i, own)) if own else left.append((i, framed))
+            unseen = left
+            for part in range(0, len(found), 4096):
+                some = found[part : part + 4096]
+                sizes = np.fromiter((len(own) for _, own in some), np.intp, len(some))
+                sums = np.add.reduceat(level.dense(np.fromiter(chain.from_iterable(own for _, own in some), np.intp, sizes.sum())), np.cumsum(sizes) - sizes)
+                out[[i for i, _ in some]] = _shares(sums / sizes[:, None])
+        return out
 
 
 def _shares(scores: np.ndarray) -> np.ndarray:
@@ -90,127 +130,129 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, max_words: int = MAX_WORDS) -> Model:
-    """Learn from the rows with a text and a language. The driver gets bounded tables alone."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, least_count: int = LEAST_COUNT) -> Model:
+    """Learn from the rows with a text and a language. The driver gets the counts of a bounded sample, and one row a label."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([])
-    languages = sorted(r["lang"] for r in sizes)
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))]), F.col("lang"))
-    place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) / 1e6
-    sample = rows.filter(F.col("lang").isin(languages)).filter(place < share)
-    per = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(languages)]
-    words = written(
-        sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("w")).groupBy("w", "lang").agg(F.count("*").alias("n")).groupBy("w").agg(*per),
-        "words",
-    )
+    languages = sorted(sizes)
+    aim = min(rows_per_language, max(1, sample_rows // len(languages)))
+    part = [F.lit(x) for lang, n in sizes.items() if n > aim for x in (lang, aim / n)]
+    share = F.coalesce(F.try_element_at(F.create_map(*part), F.col("lang")), F.lit(1.0)) if part else F.lit(1.0)
+    key = F.xxhash64(F.lit("sample"), "id", "text")
+    chosen = rows.withColumn("key", key).filter(F.pmod("key", F.lit(1_000_000)) / 1e6 < share)
+    sample = chosen.groupBy("lang", "key").agg(F.first("text").alias("text"))
+    words = written(sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key")).groupBy("key", "lang").agg(F.count("*").alias("n")), "words")
+    framed = F.concat(F.lit("^"), "key", F.lit("$"))
+    cuts = lambda size: F.transform(F.sequence(F.lit(1), F.length(framed) - size + 1), lambda i: F.struct(F.lit(size).alias("size"), F.substring(framed, i, F.lit(size)).alias("key")))
+    every = F.concat(*[F.when(F.length(framed) >= size, cuts(size)).otherwise(F.array().cast("array<struct<size:int,key:string>>")) for size in range(1, LONGEST + 1)])
+    grams = words.select("lang", "n", F.explode(every).alias("g")).groupBy("g.size", "g.key", "lang").agg(F.sum("n").alias("n"))
+    number = {x: i for i, x in enumerate(languages)}
+    known, parts = words.toArrow().to_pandas(), grams.toArrow().to_pandas()
+    dropped(words)
+    for counts in (known, parts):
+        counts["lang"] = counts["lang"].map(number).astype(np.int64)
     n = len(languages)
-    total = sum((F.col(f"c{i}") for i in range(n)), F.lit(0))
-    columns = [F.col(f"c{i}") for i in range(n)]
-
-    def top(table: DataFrame, key: str) -> tuple[list[str], np.ndarray]:
-        found = table.orderBy(total.desc(), key).limit(max_words).select(key, *columns).collect()
-        return [r[0] for r in found], np.array([r[1:] for r in found], float).reshape(len(found), n)
-
-    def scores(counts: np.ndarray, of: np.ndarray, kinds: float) -> np.ndarray:
-        return np.log(counts + 0.5) - np.log(of + 0.5 * kinds)
-
-    model, tables = Model(languages), []
-    known, counts = top(words, "w")
-    sums = words.agg(F.count("*"), *[F.sum(c) for c in columns]).first()
-    model.words = {w: i for i, w in enumerate(known)}
-    tables.append(_shares(scores(counts, np.array([x or 0 for x in sums[1:]], float), sums[0])) if known else counts)
-    for size in range(1, LONGEST + 1):
-        framed = F.concat(F.lit("^"), "w", F.lit("$"))
-        grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(framed) - size + 1)), lambda i: F.substring(framed, i, F.lit(size)))).alias("g"), *columns).groupBy("g").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)])
-        known, counts = top(grams, "g")
-        base = sum(map(len, tables))
-        model.grams.append({g: base + i for i, g in enumerate(known)})
-        tables.append(scores(counts, counts.sum(0), len(known) or 1))
-    model.table = np.concatenate([*tables, np.zeros((1, n))])
-    return model
+    known = known[known.groupby("key")["n"].transform("sum") >= least_count]
+    return Model(languages, Level.of(known, n), [Level.of(parts[parts["size"] == size], n) for size in range(1, LONGEST + 1)])
 
 
-class Scorer:
-    """A model in a worker, with the unseen words met so far."""
+class Sums:
+    """Sums of the vectors of words, with the vectors met so far kept within a bound."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
-        self.model, self.limit, self.typical = model, limit, None
+    def __init__(self, width: int, make: Callable[[list[str]], np.ndarray], limit: int):
+        self.width, self.make, self.limit = width, make, max(1, limit)
         self.forget()
 
     def forget(self) -> None:
-        self.rows = dict(self.model.words)
-        self.table = self.model.table
-        self.used = 0 if self.table is None else len(self.table)
-        self.fluent: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.model.languages) + 1))
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((0, self.width))
 
-    def fluency(self, words: list[str], language: str) -> float:
-        """Mean log frequency of the words' trigrams in a language, less the mean of its labelled rows.
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.rows]
+        if len(self.rows) + len(new) > self.limit:
+            self.forget()
+            new = list(dict.fromkeys(words))
+        if not new:
+            return
+        used, need = len(self.rows), len(self.rows) + len(new)
+        if need > len(self.table):
+            self.table = np.concatenate((self.table[:used], np.zeros((min(self.limit, max(need, 2 * used)) - used, self.width))))
+        self.table[used:need] = self.make(new)
+        self.rows.update(zip(new, range(used, need), strict=True))
+
+    def totals(self, lists: list[list[str]]) -> np.ndarray:
+        """The sum of each list, in parts of as many words as may be kept."""
+        out, group, size = np.zeros((len(lists), self.width)), [], 0
+
+        def flush() -> None:
+            self.learn([w for _, part in group for w in part])
+            row = self.rows.__getitem__
+            for at, part in group:
+                out[at] += self.table[list(map(row, part))].sum(0)
+            group.clear()
+
+        for at, words in enumerate(lists):
+            for s in range(0, len(words), self.limit):
+                part = words[s : s + self.limit]
+                if size + len(part) > self.limit:
+                    flush()
+                    size = 0
+                group.append((at, part))
+                size += len(part)
+        flush()
+        return out
 
-        Unlike the score it does not depend on which other languages there are.
-        """
-        if self.typical is None:
-            self.typical = self.model.typical()
-        typical, unseen = self.typical, self.typical + UNSEEN
-        new = [w for w in dict.fromkeys(words) if w not in self.fluent]
-        if new:
-            get, made = self.model.grams[2].get, np.zeros((len(new), self.sums.shape[1]))
-            for at, word in enumerate(new):
-                framed = f"^{word}$"
-                rows = [get(framed[i : i + 3]) for i in range(len(framed) - 2)]
-                seen = [r for r in rows if r is not None]
-                made[at, :-1] = np.maximum(self.model.table[seen], unseen).sum(0) + (len(rows) - len(seen)) * unseen
-                made[at, -1] = len(rows)
-            if len(self.fluent) + len(new) > len(self.sums):
-                self.sums = np.concatenate((self.sums[: len(self.fluent)], np.zeros((max(len(new), len(self.fluent)), self.sums.shape[1]))))
-            self.sums[len(self.fluent) : len(self.fluent) + len(new)] = made
-            self.fluent.update(zip(new, range(len(self.fluent), len(self.fluent) + len(new)), strict=True))
-        own, total = self.model.languages.index(language), self.sums[[self.fluent[w] for w in words]].sum(0)
-        return float(total[own] / total[-1] - typical[own])
+
+class Scorer:
+    """A model in a worker."""
+
+    def __init__(self, model: Model, limit: int = CACHE_WORDS):
+        self.model, n = model, len(model.languages)
+        limit = min(limit, CACHE_BYTES // (8 * (n + 1)))
+        self.words, self.trigrams, self.typical = Sums(n, model.shares, limit), Sums(n + 1, self._trigrams, limit), None
+
+    def _trigrams(self, words: list[str]) -> np.ndarray:
+        """For each word the sum of its trigrams' log frequencies in each language, and their number."""
+        level, unseen = self.model.grams[2], self.typical + UNSEEN
+        out = np.zeros((len(words), len(unseen) + 1))
+        for at, word in enumerate(words):
+            framed = f"^{word}$"
+            rows = [level.rows.get(framed[i : i + 3]) for i in range(len(framed) - 2)]
+            seen = np.array([r for r in rows if r is not None], np.intp)
+            out[at, :-1] = np.maximum(level.dense(seen), unseen).sum(0) + (len(rows) - len(seen)) * unseen
+            out[at, -1] = len(rows)
+        return out
 
     def fluencies(self, texts: list[bytes], langs: list[str]) -> list[float | None]:
-        """The fluency of each text in its language; none for those undetermined."""
-        if len(self.fluent) > self.limit:
-            self.forget()
-        return [None if x == UNDETERMINED else self.fluency(_LETTERS.findall(t.decode().lower()), x) for t, x in zip(texts, langs, strict=True)]
+        """Mean log frequency of a text's trigrams in its language, less the mean of labelled rows; none if undetermined.
 
-    def learn(self, words: list[str]) -> None:
-        shares, unknown = self.model.backoff(words)
-        if self.used + len(words) > len(self.table):
-            self.table = np.concatenate((self.table[: self.used], np.zeros((max(len(words), self.used), shares.shape[1]))))
-        self.table[self.used : self.used + len(words)] = shares
-        at = np.where(unknown, len(self.model.table) - 1, np.arange(self.used, self.used + len(words)))
-        self.rows.update(zip(words, at.tolist(), strict=True))
-        self.used += len(words)
+        Unlike the score it does not depend on which other languages there are.
+        """
+        if not self.model.languages:
+            return [None] * len(texts)
+        if self.typical is None:
+            self.typical = self.model.grams[2].typical()
+        number = {x: i for i, x in enumerate(self.model.languages)}
+        sums = self.trigrams.totals([[] if x == UNDETERMINED else _words(t) for t, x in zip(texts, langs, strict=True)])
+        return [float(s[number[x]] / s[-1] - self.typical[number[x]]) if s[-1] else None for s, x in zip(sums, langs, strict=True)]
 
     def classify(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
         languages = self.model.languages
         if not languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        lists = [_LETTERS.findall(t.decode().lower()) for t in texts]
-        seen = set().union(*lists)
-        new = [w for w in seen if w not in self.rows]
-        if len(self.rows) + len(new) > self.limit:
-            self.forget()
-            new = [w for w in seen if w not in self.rows]
-        if new:
-            self.learn(new)
-        langs, scores = [], []
-        row = self.rows.__getitem__
-        for words in lists:
-            if not words:
-                langs.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            total = self.table[list(map(row, words))].sum(0)
-            posterior = np.exp(_shares(total * min(1.0, EVIDENCE / len(words))))
-            best = int(np.argmax(posterior))  # of equal ones the first by name
-            langs.append(languages[best])
-            scores.append(float(posterior[best]))
-        return langs, scores
+        lists = [_words(t) for t in texts]
+        sizes = np.array([len(x) for x in lists])
+        posterior = np.exp(_shares(self.words.totals(lists) * np.minimum(1.0, EVIDENCE / np.maximum(1, sizes))[:, None]))
+        best = posterior.argmax(1)  # of equal ones the first by name
+        langs = [languages[b] if n else UNDETERMINED for b, n in zip(best.tolist(), sizes.tolist(), strict=True)]
+        return langs, np.where(sizes > 0, posterior.max(1), 0.0).tolist()
+
+
+def _words(text: bytes) -> list[str]:
+    return _LETTERS.findall(text.decode().lower())
 
 
 def scorer(model: Model) -> Scorer:
@@ -218,12 +260,15 @@ def scorer(model: Model) -> Scorer:
     return kept(("language", model.name), lambda: Scorer(model))
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), fluency: bool = False) -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), fluency: bool = False, prefix: str = "") -> DataFrame:
     """The id, the columns named in keep, lang_pred and score (on demand also the fluency) of every whole text. Map only."""
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded: at most (1 + LONGEST) * max_words rows
+    sent = spark.sparkContext.broadcast(model)  # the counts of a bounded sample
     names = [id_col, text_col, *[c for c in keep if c not in (id_col, text_col)]]
     shown = [c for c in names if c in keep or c == id_col]
+    made = [f"{prefix}lang_pred", f"{prefix}score", *([f"{prefix}fluency"] if fluency else [])]
+    if clash := {c.lower() for c in shown} & {c.lower() for c in made}:
+        raise ValueError(f"columns {sorted(clash)} are kept and made: give a prefix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(sent.value)
@@ -232,8 +277,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 langs, scores = own.classify(texts)
                 columns = [part.column(names.index(c)) for c in shown]
                 more = [pa.array(own.fluencies(texts, langs), pa.float64())] if fluency else []
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=[*shown, "lang_pred", "score", *(["fluency"] if fluency else [])])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=[*shown, *made])
 
     fields = df.select(*[F.col(c) for c in names]).schema
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in shown) + ", lang_pred string, score double" + (", fluency double" if fluency else "")
+    schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in shown), *(f"`{c}` {kind}" for c, kind in zip(made, ("string", "double", "double"), strict=False))])
     return df.select(*[F.col(c) for c in names]).mapInArrow(run, schema)
