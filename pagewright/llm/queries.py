@@ -116,7 +116,7 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
-OP8_SQL = f"""
+OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, source, md5(text) AS page, text, i, l, trim(translate(l, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS k
   FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
@@ -124,8 +124,8 @@ WITH lines AS (
   SELECT source, count(DISTINCT md5(text)) AS pages FROM documents WHERE text IS NOT NULL GROUP BY source
 ), known AS (
   SELECT l.source, l.k FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE l.k <> '' AND t.pages >= {linedup.MIN_PAGES}
-  GROUP BY l.source, l.k, t.pages HAVING count(DISTINCT l.page) > {linedup.RATIO} * t.pages
+  WHERE l.k <> ''
+  GROUP BY l.source, l.k, t.pages HAVING count(DISTINCT l.page) > 0.1 * t.pages AND count(DISTINCT l.page) >= 3
 ), marked AS (
   SELECT l.*, (SELECT count(*) FROM known b WHERE b.source IS NOT DISTINCT FROM l.source AND b.k = l.k) AS gone FROM lines l
 )
