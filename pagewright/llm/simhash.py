@@ -8,8 +8,8 @@ there; then each pair of tiles whose counts come within the radius. Both compare
 skip cell pairs whose counts differ beyond the radius. The comparison is exact and has
 no cap. A pair of tiles returns links between roots alone, as trees of bounded fan-out:
 no group of copies is expanded into pairs or repeated for every pair of tiles, and no
-node becomes hot. Components follow by rounds of least-neighbour messages over those
-trees until nothing changes, each round written to the shared folder.
+node becomes hot. Components follow by contraction of those trees, in rounds that grow
+with the logarithm of the longest path, each written to the shared folder.
 
 The work of the comparison grows with the square of the number of distinct
 fingerprints (less what counts exclude); all other parts grow with the rows.
@@ -222,8 +222,13 @@ class _Cells:
         return int(s), int(np.searchsorted(self.key, low * self.wide + min(upto, self.wide - 1), "right"))
 
 
-def _dealt(nodes: DataFrame, radius: int) -> tuple[DataFrame, list[list[int]]]:
-    """Each distinct fingerprint with its tile, and for each tile the later ones whose counts come within the radius."""
+def _dealt(nodes: DataFrame, radius: int) -> DataFrame:
+    """Each distinct fingerprint with its tile, how many tiles there are, and the ranges of tiles whose counts come within the radius.
+
+    Tiles are numbered by count, so the later ones that a tile meets are those up to
+    ``last``, and the earlier ones those from ``first``. All are looked up by count: no
+    table of tiles or of their pairs is made.
+    """
     weight = F.aggregate("fp", F.lit(0), lambda s, x: s + F.bit_count(x))
     counted = nodes.withColumn("weight", weight)
     histogram = sorted((r["weight"], r["count"]) for r in counted.groupBy("weight").count().collect())  # bits + 1 rows at most
@@ -236,18 +241,19 @@ def _dealt(nodes: DataFrame, radius: int) -> tuple[DataFrame, list[list[int]]]:
             ranges[-1][1], ranges[-1][3] = weight_, ranges[-1][3] + n
         else:
             ranges.append([weight_, weight_, max(1, -(-n // size)), n])
-    bounds = [(lo, hi) for lo, hi, k, _ in ranges for _ in range(k)]
-    first, of = {0: 0}, {0: 1}
-    at = 0
-    for lo, hi, k, _ in ranges:
-        for w, _n in histogram:
-            if lo <= w <= hi:
-                first[w], of[w] = at, k
-        at += k
-    pick = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), F.col("weight"))
-    partners = [[j for j in range(i + 1, len(bounds)) if bounds[j][0] - bounds[i][1] <= radius] for i in range(len(bounds))]
-    tile = (pick(first) + F.pmod(F.xxhash64("fp"), pick(of))).cast("int")
-    return counted.withColumn("tile", tile).drop("weight"), partners
+    starts = [0]
+    for _, _, k, _ in ranges:
+        starts.append(starts[-1] + k)
+    tables: dict[str, list] = {"at": [], "of": [], "first": [], "last": []}
+    for w, _ in histogram:
+        own = next(i for i, (lo, hi, _, _) in enumerate(ranges) if lo <= w <= hi)
+        lo, hi, k, _ = ranges[own]
+        met = [i for i, (l, h, _, _) in enumerate(ranges) if l - hi <= radius and lo - h <= radius]
+        for name, value in (("at", starts[own]), ("of", k), ("first", starts[met[0]]), ("last", starts[met[-1] + 1] - 1)):
+            tables[name] += [F.lit(w), F.lit(value)]
+    pick = lambda name: F.element_at(F.create_map(*(tables[name] or [F.lit(0), F.lit(0)])), F.col("weight"))
+    tile = (pick("at") + F.pmod(F.xxhash64("fp"), pick("of"))).cast("int")
+    return counted.select(*nodes.columns, tile.alias("tile"), F.lit(max(1, starts[-1])).alias("tiles"), pick("first").alias("first"), pick("last").alias("last"))
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -267,7 +273,7 @@ def _within(dealt: DataFrame, radius: int) -> DataFrame:
     return dealt.groupBy("tile").applyInArrow(compare, f"{schema}, root array<bigint>")
 
 
-def _between(groups: DataFrame, partners: list[list[int]], radius: int) -> DataFrame:
+def _between(groups: DataFrame, radius: int) -> DataFrame:
     """Trees of links (a, b) between roots, for each pair of tiles: a group comes once, however many of its members link."""
 
     def compare(pair: pa.Table) -> pa.Table:
@@ -283,40 +289,49 @@ def _between(groups: DataFrame, partners: list[list[int]], radius: int) -> DataF
         x, y = joined.trees()
         return pa.table({"a": pair["root"].take(pa.array(first[x])), "b": pair["root"].take(pa.array(first[y]))})
 
-    tiles = len(partners)
-    sides = [(i, [(i * tiles + j, 0) for j in partners[i]] + [(j * tiles + i, 1) for j in range(i) if i in partners[j]]) for i in range(tiles)]
-    # with as many rows as tiles: 1 for TILE fingerprints
-    near = F.broadcast(groups.sparkSession.createDataFrame(sides or [(0, [])], "tile int, pairs array<struct<pair:long,side:int>>"))
-    spread = groups.join(near, "tile").select("fp", "root", F.explode("pairs").alias("p")).select("fp", "root", "p.*")
+    pair = lambda i, j, side: F.struct((i.cast("long") * F.col("tiles") + j).alias("pair"), F.lit(side).alias("side"))
+    none = F.array().cast("array<struct<pair:bigint,side:int>>")
+    later = F.when(F.col("last") > F.col("tile"), F.transform(F.sequence(F.col("tile") + 1, "last"), lambda j: pair(F.col("tile"), j, 0))).otherwise(none)
+    earlier = F.when(F.col("first") < F.col("tile"), F.transform(F.sequence("first", F.col("tile") - 1), lambda i: pair(i, F.col("tile"), 1))).otherwise(none)
+    spread = groups.select("fp", "root", F.explode(F.concat(later, earlier)).alias("p")).select("fp", "root", "p.*")
     return spread.groupBy("pair").applyInArrow(compare, "a array<bigint>, b array<bigint>")
 
 
 def components(edges: DataFrame, values: DataFrame) -> DataFrame:
     """(fp, component): the least value among the fingerprints that the edges connect, for those with edges.
 
-    edges: (a, b), any number and order; values: (fp, value). Runs until no label
-    changes, which takes as many rounds as the longest of the shortest paths has edges.
+    edges: (a, b), any number and order; values: (fp, value). In each round every node
+    takes the least of its neighbours and then that one's own, all edges move to what
+    their ends have taken, and those within one node go. Paths shrink by a constant share
+    a round, so rounds grow with the logarithm of the longest one.
     """
-    both = written(edges.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("fp"), F.col("a").alias("other"))).distinct(), "edges")
-    ends = both.select("fp").distinct()
-    labels = written(ends.join(values, "fp").select("fp", F.col("value").alias("component")), "labels")
-    while True:
-        heard = both.join(labels, "fp").groupBy(F.col("other").alias("fp")).agg(F.min("component").alias("heard"))
-        new = written(labels.join(heard, "fp", "left").select("fp", F.coalesce(F.least("component", "heard"), "component", "heard").alias("component"), F.coalesce(F.col("heard") < F.col("component"), F.col("heard").isNotNull() & F.col("component").isNull()).alias("changed")), "labels")
-        dropped(labels)
-        labels = new.select("fp", "component")
-        labels._pw_path = new._pw_path
-        if not new.filter("changed").limit(1).count():
-            dropped(both)
-            return labels
+    links = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels = written(links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct().select("fp", F.col("fp").alias("root")), "labels")
+    while not links.isEmpty():
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        least = written(both.groupBy("node").agg(F.min("other").alias("heard")).select("node", F.least("node", "heard").alias("to")), "least")
+        taken = written(least.select("node", F.col("to").alias("via")).join(least.select(F.col("node").alias("via"), "to"), "via").select("node", "to"), "taken")
+        named = taken.select(F.col("node").alias("root"), F.col("to"))
+        moved = links.join(taken.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(taken.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        new_links = written(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        new_labels = written(labels.join(named, "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "labels")
+        for done in (links, labels, least, taken):
+            dropped(done)
+        links, labels = new_links, new_labels
+    dropped(links)
+    valued = written(labels.join(values, "fp"), "valued")
+    ends = written(valued.groupBy("root").agg(F.min("value").alias("component")), "ends")
+    out = written(valued.join(ends, "root").select("fp", "component"), "labels")
+    for done in (labels, valued, ends):
+        dropped(done)
+    return out
 
 
 def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """Every row's id, fp and component_id, the least id reachable over links within the radius."""
     marks = written(fingerprints(df, shingle, words, id_col, text_col, distinct), "marks")
-    dealt, partners = _dealt(marks.groupBy("fp").agg(F.min(id_col).alias("value")), radius)
-    groups = written(_within(dealt, radius), "groups")
-    edges = written(_between(groups, partners, radius), "links")
+    groups = written(_within(_dealt(marks.groupBy("fp").agg(F.min(id_col).alias("value")), radius), radius), "groups")
+    edges = written(_between(groups, radius), "links")
     roots = written(groups.groupBy(F.col("root").alias("fp")).agg(F.min("value").alias("value")), "roots")
     labels = components(edges, roots)
     # tables are written so that both sides of a join are dealt anew and skew can be split

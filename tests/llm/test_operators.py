@@ -307,3 +307,15 @@ def test_neighbours_in_many_small_tasks(spark):
         assert len(own) == 20 and np.allclose(own["score"], x[own["vec_id"]] @ x[q], rtol=0, atol=1e-9)
         hits += np.isclose(np.sort(own["score"]), np.sort(score[best]), atol=1e-9).sum()
     assert hits / (300 * 20) >= 0.9
+
+
+def test_components_of_long_paths(spark):
+    rng = random.Random(4)
+    n = 4000
+    names = list(range(n))
+    rng.shuffle(names)  # a path in any order, a star, two nodes, and a loop
+    links = [(names[i], names[i + 1]) for i in range(n - 1)] + [(n, n + 1 + i) for i in range(500)] + [(9001, 9000), (9000, 9001), (9002, 9002)]
+    edges = spark.createDataFrame([([a], [b]) for a, b in links], "a array<bigint>, b array<bigint>")
+    values = spark.createDataFrame([([i], None if i == 0 else i) for i in [*range(n + 501), 9000, 9001, 9002]], "fp array<bigint>, value long")
+    got = {r["fp"][0]: r["component"] for r in simhash.components(edges, values).collect()}
+    assert got == {**{i: 1 for i in range(n)}, **{n + i: n for i in range(501)}, 9000: 9000, 9001: 9000}
