@@ -7,8 +7,8 @@ The fingerprint of a text has its length, the hash of the whole, and for windows
 likeness is the share of text in common that the agreeing bins show (Dice).
 
 Defined results for odd input: null text counts as empty; a text shorter than a
-window is one window; documents of equal id follow one another by text, null ids come
-last; a single row is followed by itself; an empty table gives an empty result;
+window is one window; documents of equal id follow one another by a hash of the text, null ids
+come last; a single row is followed by itself; an empty table gives an empty result;
 repeated rows each give a row; other columns are ignored; texts of any length are
 taken whole, in blocks.
 """
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm._scratch import slices
@@ -186,44 +186,63 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def _place(column, splits: list[int], low: int = 0, high: int | None = None):
-    """How many splits are at or over the value, as a binary search of expressions."""
+#: Rows of the sample from which split points come, for each partition.
+SAMPLED = 50
+
+
+def _place(key: Column, splits: list[tuple], literal, low: int = 0, high: int | None = None) -> Column:
+    """How many splits are at or over the key, as a binary search of expressions."""
     high = len(splits) if high is None else high
     if low == high:
         return F.lit(len(splits) - low)
     mid = (low + high) // 2
-    return F.when(column > F.lit(splits[mid]), _place(column, splits, mid + 1, high)).otherwise(_place(column, splits, low, mid))
+    return F.when(key > literal(splits[mid]), _place(key, splits, literal, mid + 1, high)).otherwise(_place(key, splits, literal, low, mid))
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, text, ghost), each partition in descending order of id and closed by the row that follows its last.
 
-    The ids are cut into ranges of about equally many rows, one for each shuffle
-    partition; each range gets a copy of the first row of the range after it (the last
-    range: of the first one). One shuffle of the texts; only split points and one id
-    for each partition come to the driver.
+    Rows are ordered by id, then by a hash of the text, then by where they stand in the
+    input (which only rows of equal id and text need), and cut into ranges of about
+    equally many rows, one for each shuffle partition: neither rows without id nor those
+    of one id or text come to one range. Each range gets a copy of the first row of the
+    range after it (the last range: of the first one). One shuffle of the texts; only a
+    bounded sample of keys, and one for each partition, come to the driver.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    splits = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    splits = sorted(set(splits)) if parts > 1 else []
-    bucket = F.when(F.col("id").isNull(), F.lit(len(splits))).otherwise(_place(F.col("id"), splits)).cast("int")
-    firsts = sorted((r["bucket"], r["id"]) for r in rows.groupBy(bucket.alias("bucket")).agg(F.max("id").alias("id")).collect())
-    ghosts = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
     kind = df.schema[id_col].dataType.simpleString()
-    ghost = F.broadcast(spark.createDataFrame(ghosts, f"first {kind}, target int"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # the same in every job over the same input; nulls are least, so they come last
+    rows = rows.withColumn("key", F.struct(F.col("id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("n")))
+    literal = lambda k: F.struct(F.lit(k[0]).cast(kind).alias("i"), F.lit(k[1]).cast("long").alias("h"), F.lit(k[2]).cast("long").alias("n"))
+    n = df.count()
+    share = min(1.0, SAMPLED * parts / max(1, n))
+    sample = sorted((tuple(r["key"]) for r in rows.select("key").filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) / 1e6 < share).collect()), key=_nulls_first)
+    splits = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
+    splits = [k for at, k in enumerate(splits) if not at or k != splits[at - 1]]
+    bucket = _place(F.col("key"), splits, literal).cast("int")
+    firsts = sorted((r["bucket"], tuple(r["key"])) for r in rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.max("key").alias("key")).collect())
+    ghosts = [(*first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
+    # a row for each partition
+    ghost = F.broadcast(spark.createDataFrame(ghosts, f"gi {kind}, gh long, gn long, target int"))
+    row = lambda b, ghost: F.struct(b.alias("b"), F.lit(ghost).alias("ghost"))
+    same = (F.col("key.n") == F.col("gn")) & (F.col("key.h") == F.col("gh")) & F.col("key.i").eqNullSafe(F.col("gi"))
     return (
         rows.withColumn("bucket", bucket)
-        .join(ghost, F.col("id").eqNullSafe(F.col("first")), "left")
-        .select("id", "text", F.explode(F.when(F.col("target").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")), F.struct(F.col("target").alias("b"), F.lit(True).alias("ghost"))))).alias("x"))
-        .select("id", "text", F.col("x.ghost").alias("ghost"), F.col("x.b").alias("b"))
+        .join(ghost, same, "left")
+        .select("id", "text", "key", F.explode(F.when(F.col("target").isNull(), F.array(row(F.col("bucket"), False))).otherwise(F.array(row(F.col("bucket"), False), row(F.col("target"), True)))).alias("x"))
+        .select("id", "text", "key", F.col("x.ghost").alias("ghost"), F.col("x.b").alias("b"))
         .repartitionById(len(splits) + 1, F.col("b"))
-        .sortWithinPartitions("ghost", F.col("id").desc_nulls_last(), "text")
+        .sortWithinPartitions("ghost", F.col("key").desc())
         .select("id", "text", "ghost")
     )
 
 
+def _nulls_first(key: tuple) -> tuple:
+    return (key[0] is not None, *key) if key[0] is not None else (False, 0, *key[1:])
+
+
 def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses (also to the next document's).
 

@@ -319,3 +319,36 @@ def test_components_of_long_paths(spark):
     values = spark.createDataFrame([([i], None if i == 0 else i) for i in [*range(n + 501), 9000, 9001, 9002]], "fp array<bigint>, value long")
     got = {r["fp"][0]: r["component"] for r in simhash.components(edges, values).collect()}
     assert got == {**{i: 1 for i in range(n)}, **{n + i: n for i in range(501)}, 9000: 9000, 9001: 9000}
+
+
+def test_fingerprints_of_one_id_and_one_text(spark):
+    rows = [(None, "same"), (5, "same"), (5, "other")] * 400 + [(None, f"none {i}") for i in range(300)] + [(9, "last text")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string").repartition(4)
+    parts = polyhash.with_next(frame.coalesce(4)).filter("not ghost").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 900
+    got = polyhash.edit_fingerprints(frame.coalesce(4)).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(i), len(t)) for i, t in rows)
+    # in a ring every document is the next of one: halves of "same" are joined to the start of what follows
+    edits = [r["edited_sha256"] for r in got if r["doc_id"] == 9]
+    assert edits[0] in {hashlib.sha256(("last " + t[:4]).encode()).hexdigest() for t in ("same", "other")}
+
+
+def windows(text, width):
+    return {text[i : i + width] for i in range(max(1, len(text) - width + 1))}
+
+
+def test_likeness_follows_true_overlap():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    gaps = {"long": [], "short": []}
+    for kind, size in (("long", 400), ("short", 25)):
+        for _ in range(120):
+            a = " ".join(rng.choice(words) for _ in range(size))
+            cut = rng.randint(0, len(a))
+            b = a[:cut] + " ".join(rng.choice(words) for _ in range(size))[: len(a) - cut]
+            near = polyhash.likeness(*(polyhash.fingerprint(polyhash.PrefixHash(t)) for t in (a, b)))
+            x, y = (windows(t, polyhash.COARSE[0] if kind == "long" else polyhash.FINE[0]) for t in (a, b))
+            gaps[kind].append(abs(near - 2 * len(x & y) / (len(x) + len(y))))
+    for kind, bins in (("long", polyhash.COARSE[1]), ("short", polyhash.FINE[1])):
+        # of so many bins the deviation of the share of equal ones is at most half a root
+        assert np.mean(gaps[kind]) < 0.75 / np.sqrt(bins) and max(gaps[kind]) < 3 / np.sqrt(bins), (kind, np.mean(gaps[kind]), max(gaps[kind]))
