@@ -10,7 +10,8 @@ URL and range that carries the last response of the ranges before. So a URL with
 of all records is spread over as many tasks as there are ranges. Payloads take no part.
 
 Defined results for odd input: records without URL or time, and revisits without a
-validator, are not resolved but reported; of records of one time the lower id is the
+validator, are not resolved but reported; a time given as text is read as a time, and one
+that cannot be read counts as none; of records of one time the lower id is the
 earlier; equal ids and times: neither is earlier than the other for a repeated row, which
 is reported again; a null header map is empty; an empty table gives an empty result.
 """
@@ -19,11 +20,14 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Header fields that a not-modified reply may update (RFC 9110, section 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -51,6 +55,8 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     or incomplete (no URL or time). headers: the merged map if resolved, else null.
     """
     spark = records.sparkSession
+    if isinstance(records.schema["ts"].dataType, T.StringType):
+        records = records.withColumn("ts", F.try_to_timestamp("ts"))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = records.filter(F.col("warc_type").isin("response", "revisit")).select("record_id", "warc_type", canonical_url(F.col("url")).alias("canonical_url"), "ts", "etag", "last_modified", "headers")
     splits = records.agg(F.percentile_approx("ts", [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("q")).first()["q"] or []
@@ -118,44 +124,134 @@ def _fields(stream: io.BufferedIOBase) -> dict[str, str]:
     return out
 
 
-def read_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file; reading stops at the first broken one, which is reported as type ``broken``."""
-    stream: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    try:
-        while line := stream.readline():
-            if not line.strip():
-                continue
-            if not line.startswith(b"WARC/"):
-                yield {"warc_type": "broken"}
-                return
+def _record(head: dict[str, str], body: bytes) -> dict:
+    http, status = {}, None
+    if head.get("content-type", "").startswith("application/http"):
+        inner = io.BytesIO(body)
+        first = inner.readline().split(None, 2)
+        status = int(first[1]) if len(first) > 1 and first[1].isdigit() else None
+        http = _fields(inner)
+        body = inner.read()
+    return {"record_id": head.get("warc-record-id"), "warc_type": head.get("warc-type"), "url": head.get("warc-target-uri"), "ts": head.get("warc-date"), "status_code": status, "etag": http.get("etag"), "last_modified": http.get("last-modified"), "headers": http, "payload": body}
+
+
+def _plain_records(data: bytes) -> Iterator[dict]:
+    """The records of uncompressed data; after a broken one reading goes on at the next line that starts a record."""
+    at = 0
+    while at < len(data):
+        if data[at : at + 2] == b"\r\n":
+            at += 2
+            continue
+        stream = io.BytesIO(data)
+        stream.seek(at)
+        good = data[at : at + 5] == b"WARC/"
+        if good:
+            stream.readline()
             head = _fields(stream)
-            body = stream.read(int(head.get("content-length", "0")))
-            http, status = {}, None
-            if head.get("content-type", "").startswith("application/http"):
-                inner = io.BytesIO(body)
-                first = inner.readline().split(None, 2)
-                status = int(first[1]) if len(first) > 1 and first[1].isdigit() else None
-                http = _fields(inner)
-                body = inner.read()
-            yield {"record_id": head.get("warc-record-id"), "warc_type": head.get("warc-type"), "url": head.get("warc-target-uri"), "ts": head.get("warc-date"), "status_code": status, "etag": http.get("etag"), "last_modified": http.get("last-modified"), "headers": http, "payload": body}
-    except (EOFError, OSError, ValueError, zlib.error):
-        yield {"warc_type": "broken"}
+            size = head.get("content-length", "")
+            good = size.isdigit() and stream.tell() + int(size) <= len(data)
+        if not good:
+            yield {"warc_type": "broken"}
+            following = data.find(b"\nWARC/", at + 1)
+            at = following + 1 if following >= 0 else len(data)
+            continue
+        yield _record(head, stream.read(int(size)))
+        at = stream.tell()
 
 
-RECORD_SCHEMA = "record_id string, warc_type string, url string, ts string, status_code int, etag string, last_modified string, headers map<string,string>, payload binary"
+_MEMBER = b"\x1f\x8b\x08"
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files of a folder, read by Spark, one file a row at a time."""
-    import pandas as pd
+def read_records(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file. A broken one is reported as type ``broken``, and reading goes on at the next
+    record or gzip member that can be read."""
+    if data[:2] != _MEMBER[:2]:
+        yield from _plain_records(data)
+        return
+    at = 0
+    while 0 <= at < len(data):
+        inflate = zlib.decompressobj(31)
+        try:
+            plain = inflate.decompress(data[at:] if at else data)
+            whole = inflate.eof
+        except zlib.error:
+            plain, whole = b"", False
+        if whole:
+            yield from _plain_records(plain)
+            at = data.find(_MEMBER, len(data) - len(inflate.unused_data)) if inflate.unused_data else len(data)
+        else:
+            yield {"warc_type": "broken"}
+            at = data.find(_MEMBER, at + 1)
+
+
+_FIELDS = "record_id string, warc_type string, url string, ts string, status_code int, etag string, last_modified string, headers map<string,string>, payload binary"
+RECORD_SCHEMA = _FIELDS.replace("ts string", "ts timestamp")
+_NAMES = [f.strip().split(" ")[0] for f in _FIELDS.split(", ")]
+#: What ends a record and starts the next; a reader of lines that end so cuts files of any size into records.
+_BETWEEN = "\r\n\r\nWARC/"
+
+
+def _batches(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about 8 MB of payload."""
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += len(r.get("payload") or b"") + 200
+        if size > 8 << 20:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(held: list[dict]) -> pa.RecordBatch:
+    kinds = [pa.int32() if n == "status_code" else pa.binary() if n == "payload" else pa.map_(pa.string(), pa.string()) if n == "headers" else pa.string() for n in _NAMES]
+    return pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" and r.get(n) is not None else r.get(n) for r in held], kind) for n, kind in zip(_NAMES, kinds, strict=True)], names=_NAMES)
+
+
+def _joined(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Whole records of pieces: one that is shorter than it says goes on in the next piece, unless that starts a record."""
+    held, need = b"", 0
+    for piece in pieces:
+        piece = piece if piece.startswith(b"WARC/") else b"WARC/" + piece  # the reader takes the mark away
+        start = _START.match(piece)
+        if held and not start and len(held) < need:
+            held += b"\r\n\r\n" + piece
+            continue
+        if held:
+            yield held
+        size = _LENGTH.search(piece[: start.end()]) if start else None
+        held, need = piece, start.end() + int(size[1]) if size else 0
+    if held:
+        yield held
 
-    names = [f.strip().split(" ")[0] for f in RECORD_SCHEMA.split(", ")]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
-                found = [[r.get(n) for n in names] for r in read_records(data)]
-                for at in range(0, len(found), 1000):
-                    yield pd.DataFrame(found[at : at + 1000], columns=names)
+#: The head of a record, and its length.
+_START = re.compile(rb"WARC/\d[\d.]*\r\n(?:[^\r\n]+\r\n)*?WARC-Type:(?:[^\r\n]+\r\n)+\r\n", re.I)
+_LENGTH = re.compile(rb"\r\nContent-Length:\s*(\d+)\s*\r\n", re.I)
+
+
+def read_warc(spark: SparkSession, path: str, recover: bool = False) -> DataFrame:
+    """The records of WARC files, with times as timestamps. Broken records come as type ``broken``.
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RECORD_SCHEMA)
+    Files are read as a stream of records: a plain file in as many ranges as Spark cuts
+    it into, a gzip file by one task, of whatever size. (A payload that itself holds whole
+    WARC records is taken apart, and its own record comes as broken.) A damaged gzip member fails the
+    job, as nothing may be dropped in silence; with ``recover`` files are read whole (so
+    up to 2 GB each) and reading goes on at the next member.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                yield from _batches(read_records(data.as_py()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (value.as_py() for batch in batches for value in batch.column(0))
+        yield from _batches(r for data in _joined(pieces) for r in _plain_records(data + b"\r\n\r\n"))
+
+    if recover:
+        found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, _FIELDS)
+    else:
+        found = spark.read.text(path, lineSep=_BETWEEN).select(F.col("value").cast("binary")).filter("octet_length(value) > 0").mapInArrow(cut, _FIELDS)
+    return found.withColumn("ts", F.try_to_timestamp("ts"))

@@ -242,7 +242,12 @@ def test_warc_round_trip(tmp_path, spark):
     data = b"".join(warc.write_record("response", f"http://e.test/{i}", "2024-01-01T00:00:00Z", f"<urn:{i}>", body) for i in range(3))
     (tmp_path / "a.warc.gz").write_bytes(data)
     (tmp_path / "b.warc").write_bytes(b"junk")
-    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    (tmp_path / "c.warc").write_bytes(b"")
+    for recover in (False, True):
+        _round_trip(warc.read_warc(spark, str(tmp_path), recover).collect())
+
+
+def _round_trip(rows):
     good = [r for r in rows if r["warc_type"] == "response"]
     assert [r["record_id"] for r in good] == ["<urn:0>", "<urn:1>", "<urn:2>"] and [r["warc_type"] for r in rows].count("broken") == 1
     assert bytes(good[0]["payload"]) == b"payload" and good[0]["etag"] == '"x"' and good[0]["headers"]["x-long"] == "a b"
@@ -352,3 +357,37 @@ def test_likeness_follows_true_overlap():
     for kind, bins in (("long", polyhash.COARSE[1]), ("short", polyhash.FINE[1])):
         # of so many bins the deviation of the share of equal ones is at most half a root
         assert np.mean(gaps[kind]) < 0.75 / np.sqrt(bins) and max(gaps[kind]) < 3 / np.sqrt(bins), (kind, np.mean(gaps[kind]), max(gaps[kind]))
+
+
+def test_reading_goes_on_after_a_broken_record(tmp_path, spark):
+    body = b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1 is a format, \r\nWARC/1.0 was"
+    plain = [warc.write_record("response", f"http://e.test/{i}", "2024-01-01T00:00:00Z", f"<urn:{i}>", body, compress=False) for i in range(4)]
+    plain[1] = plain[1].replace(b"Content-Length: ", b"Content-Length: x")
+    packed = [warc.write_record("response", f"http://e.test/{i}", "2024-01-01T00:00:00Z", f"<urn:{i}>", body) for i in range(4, 8)]
+    packed[1] = packed[1][:40] + b"\xff" * 20 + packed[1][60:]
+    packed[3] = packed[3][:-20]
+    (tmp_path / "a.warc").write_bytes(b"".join(plain))
+    assert [r.get("record_id") for r in warc.read_records(b"".join(packed)) if r["warc_type"] == "response"] == ["<urn:4>", "<urn:6>"]
+    for recover in (False, True):
+        rows = warc.read_warc(spark, str(tmp_path), recover).collect()
+        good = sorted((r["record_id"], bytes(r["payload"])) for r in rows if r["warc_type"] == "response")
+        assert good == [(f"<urn:{i}>", body.split(b"\r\n\r\n", 1)[1]) for i in (0, 2, 3)] and any(r["warc_type"] == "broken" for r in rows)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(packed))
+    assert warc.read_warc(spark, str(tmp_path), recover=True).filter("warc_type = 'response'").count() == 5
+    with pytest.raises(Exception):  # noqa: B017
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_revisits_of_files(tmp_path, spark):
+    page = b'HTTP/1.1 200 OK\r\nETag: "x"\r\nContent-Type: text/html\r\n\r\nhello'
+    same = b'HTTP/1.1 304 Not Modified\r\nETag: W/"x"\r\nDate: later\r\n\r\n'
+    records = [("response", "2024-01-01T00:00:00Z", page), ("revisit", "2024-01-03T00:00:00Z", same), ("response", "2024-01-02T00:00:00Z", page), ("revisit", "not a time", same)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.write_record(k, "http://e.test/p", t, f"<urn:{i}>", b) for i, (k, t, b) in enumerate(records)))
+    found = warc.read_warc(spark, str(tmp_path))
+    extra = found.withColumn("canonical_url", F.lit("x")).withColumn("status", F.lit("y")).withColumn("part", F.lit(1)).withColumn("refers_to", F.lit(1))
+    for frame in (found, extra, found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))):
+        got = {r["record_id"]: r for r in warc.resolve_revisits(frame).collect()}
+        assert (got["<urn:1>"]["refers_to"], got["<urn:1>"]["status"], got["<urn:3>"]["status"]) == ("<urn:2>", "resolved", "incomplete")
+        assert got["<urn:1>"]["headers"] == {"content-type": "text/html", "etag": 'W/"x"', "date": "later"}
+    twice = warc.resolve_revisits(found.unionByName(found)).collect()
+    assert len(twice) == 4 and {r["refers_to"] for r in twice} == {"<urn:2>", None}
