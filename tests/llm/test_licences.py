@@ -48,3 +48,39 @@ def test_sentences_do_not_run_over_blank_lines_or_into_others(spark):
     rows = [(1, "All rights\n\nreserved."), (2, "All rights\n#\n# reserved."), (3, "not all rights reserved here"), (4, "All rights reserved\nReleased under\nthe MIT License"), (5, "-" * 5000 + "\n" * 5000 + "." * 5000)]
     got = {r["doc_id"]: r["sentence_ids"] for r in licences.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "", 2: "", 3: "", 4: "all-rights,mit-tag", 5: ""}
+
+
+LGPL = GPL.replace("This program is", "This library is").replace("GNU General", "GNU Lesser General")
+MORE = [
+    (LGPL, "LGPL-3.0-or-later"),
+    (LGPL.replace("version 3 of", "version 2.1 of"), "LGPL-2.1-or-later"),
+    (GPL.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"),
+    (GPL.replace("version 3 of", "version 2 of"), "GPL-2.0-or-later"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT", "ISC"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0BSD"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Zlib"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0"),
+    ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+    ("CC0 1.0 Universal", "CC0-1.0"),
+    ("MIT License", "MIT"),
+]
+
+
+def test_further_licences(spark):
+    rows = [(i, "\n".join(("// " + x).rstrip() for x in part.split("\n")), "rule") for i, (part, _) in enumerate(MORE)]
+    rows += [(100 + i, "\n".join(x for part in t.split("\n") for x in textwrap.wrap(part, 60) or [""]), "x") for i, (t, _) in enumerate(MORE)]
+    rows += [(200, MIT + "\nx" * 400_000, "long"), (201, MIT, "a"), (201, MIT, "a")]
+    got = licences.recognise(spark.createDataFrame(rows, "doc_id long, text string, rule string")).collect()
+    assert {r["doc_id"]: r["licence"] for r in got if r["doc_id"] < 200} == {k + i: name for i, (_, name) in enumerate(MORE) for k in (0, 100)}
+    assert [r["licence"] for r in got if r["doc_id"] >= 200] == ["MIT"] * 3
+
+
+def test_every_sentence_has_a_telling_word():
+    for sentences in (licences.SENTENCES, {"a": "one two", "b": "two three four", "c": "fifth sixth"}):
+        words = set(licences.telling_words(sentences))
+        assert all(words & set(s.split()) for s in sentences.values())
+    assert set(licences.telling_words(licences.SENTENCES)) <= set(licences.TELLING) | {"unencumbered"}
+    ids = {i for _, sequence in licences.RULES for i in sequence}
+    assert ids <= set(licences.SENTENCES)
