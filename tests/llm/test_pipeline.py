@@ -119,3 +119,49 @@ def test_run_equals_plain_stages(spark, tmp_path):
     sizes = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
     got = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in got} == sizes
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, __key long, __id string, n_lines int, host string"
+
+
+def test_stages_keep_further_columns(spark):
+    rng = random.Random(12)
+    words = {"en": [f"the{i} and{i} of" for i in range(60)], "de": [f"der{i} und{i} von" for i in range(60)]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, "Head\n" + text(lang, 40), lang, "a", 0, 1.5, "x", 7, "k", 3, "h") for i, lang in enumerate(["en", "de"] * 20)]
+    rows += [(100, text("en", 40_000), "en", "b", 0, 1.5, "x", 7, "k", 3, "h"), (None, text("de", 30), "de", None, 0, 1.5, "x", 7, "k", 3, "h"), (3, rows[3][1], *rows[3][2:]), (101, "", None, None, 0, None, None, None, None, None, None), (102, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (docs, docs.limit(0)):
+            out = stage(spark, frame, "")
+            if name != "packing":
+                assert out.schema.names == docs.schema.names, name
+            count = out.count()
+            assert (count > 0) == (frame is docs), name
+        if name != "packing":
+            left = stage(spark, docs, "").collect()
+            docs = spark.createDataFrame(left, SCHEMA)
+            assert all(r["score"] == 1.5 and r["__key"] == 7 and r["n_lines"] == 3 for r in left), name
+            ids = [r["doc_id"] for r in left]
+            assert 102 not in ids and 101 not in ids and 100 in ids and None in ids and ids.count(3) == (2 if name != "near_duplicates" else 1)
+            if name == "lines":
+                assert not any("Head" in r["text"] for r in left)
+
+
+def test_near_copies_are_found(spark):
+    """Recall of pairs by their exact similarity, on copies with words replaced in whole real texts."""
+    rng = random.Random(13)
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars between 400 and 6000").orderBy("doc_id").limit(250).collect()]
+    real = list(dict.fromkeys(real))
+    copies = []
+    for t in real:
+        w = t.split(" ")
+        for at in rng.sample(range(len(w)), max(1, len(w) // 60)):
+            w[at] = "changed"
+        copies.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(real + copies)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    root = plain_groups(real + copies)
+    assert kept == set(root)
+    near = [i for i, t in enumerate(real) if similarity(shingles(t), shingles(copies[i])) >= Fraction(4, 5)]
+    assert len(near) > 150 and all(len(real) + i not in kept for i in near)
