@@ -27,15 +27,30 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: what a lambda takes from outside is computed for each of its elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def code_flags(lines: Column) -> Column:
     """For each line whether it is a fence or stands after an odd number of fences.
 
-    Fences toggle, whatever their kind and length. No shuffle: the few fence positions
-    of a document are looked at for each line.
+    Fences toggle, whatever their kind and length, so code reaches from every odd fence to
+    the next one. The flags are laid end to end from one pair of fences to the next: the
+    work grows with the lines, and there is no shuffle.
     """
+
+    def flags(marks: Column, n: Column) -> Column:
+        until = lambda j: F.coalesce(F.get(marks, 2 * j + 1), n - 1)
+        before = lambda j: F.when(j > 0, until(j - 1)).otherwise(-1)
+        pairs = F.ceil(F.size(marks) / 2).cast("int")
+        stretch = lambda j: F.concat(F.array_repeat(F.lit(False), F.get(marks, 2 * j) - before(j) - 1), F.array_repeat(F.lit(True), until(j) - F.get(marks, 2 * j) + 1))
+        rest = F.array_repeat(F.lit(False), n - 1 - until(pairs - 1))
+        made = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), pairs - 1), stretch)), rest)
+        return F.when(F.size(marks) == 0, F.array_repeat(F.lit(False), n)).otherwise(made)
+
     marks = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(FENCE), i)), lambda i: i.isNotNull())
-    flag = lambda x, i: x.rlike(FENCE) | (F.size(F.filter(marks, lambda m: m < i)) % 2 == 1)
-    return F.when(F.size(marks) == 0, F.transform(lines, lambda x: F.lit(False))).otherwise(F.transform(lines, flag))
+    return let(F.struct(marks.alias("marks"), F.size(lines).alias("n")), lambda x: flags(x["marks"], x["n"]))
 
 
 def quoted(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.config import Config
 from pagewright.functions.text import quoted, strip
 from pagewright.operators.source_rules import ISSUE, issue
 
@@ -68,12 +69,13 @@ def _section_level(top: Column) -> Column:
 
 def _entries(top: Column, at: Column, stop: Column) -> Column:
     """Dated entries of a section: of its headings with the paragraph near them, else of its paragraphs."""
-    inner = F.slice(top, at + 2, stop - at - 1)
-    para = lambda i: F.when(F.get(inner, i)["kind"] == "para", F.get(inner, i)["text"])
+    # blocks stay in ``top``: a copy of the section would be made anew for each of its blocks
+    para = lambda i: F.when((i < stop) & (F.get(top, i)["kind"] == "para"), F.get(top, i)["text"])
     near = lambda i: F.coalesce(F.concat(F.lit(" "), F.coalesce(para(i + 1), para(i + 2))), F.lit(""))
-    heads = F.transform(inner, lambda b, i: F.when(b["kind"] == "heading", F.concat(b["text"], near(i))))
-    heads = F.filter(heads, lambda t: t.isNotNull())
-    paras = F.transform(F.filter(inner, lambda b: b["kind"] == "para"), lambda b: b["text"])
+    places = F.when(stop - at > 1, F.sequence(at + 1, stop - 1)).otherwise(F.array().cast("array<int>"))
+    of_kind = lambda kind: F.filter(places, lambda i: F.get(top, i)["kind"] == kind)
+    heads = F.transform(of_kind("heading"), lambda i: F.concat(F.get(top, i)["text"], near(i)))
+    paras = F.transform(of_kind("para"), lambda i: F.get(top, i)["text"])
     dated = F.transform(F.when(F.size(heads) > 0, heads).otherwise(paras), lambda t: F.struct(strip(t).alias("text"), date_range(t).alias("d")))
     return F.transform(F.filter(dated, lambda e: e["d"]["start"].isNotNull() | e["d"]["ongoing"]), lambda e: F.struct(e["text"].alias("text"), e["d"]["start"].alias("start"), e["d"]["end"].alias("end"), e["d"]["ongoing"].alias("ongoing")))
 
@@ -86,21 +88,23 @@ def _bullets(blocks: Column) -> Column:
     return F.flatten(F.transform(F.filter(told, lambda x: x["text"] != ""), lambda x: F.array_repeat(x["text"], x["n"])))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """The table with a column that is computed once a row, however often later expressions read it."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def with_cv(df: DataFrame) -> DataFrame:
-    """The table with ``cv``: struct(header, links, sections, bullets) of its blocks."""
-    top = F.filter("blocks", lambda b: b["parent_id"].isNull())
-    df = _once(_once(df, "__top", top), "__level", _section_level(F.col("__top")))
-    starts = F.filter(F.transform("__top", lambda b, i: F.when((b["kind"] == "heading") & (b["level"] == F.col("__level")), i)), lambda i: i.isNotNull())
-    df = _once(df, "__starts", starts)
-    stop = lambda k: F.coalesce(F.get("__starts", k + 1), F.size("__top"))
-    title = lambda s: strip(F.get("__top", s)["text"])
-    sections = F.transform("__starts", lambda s, k: F.struct(title(s).alias("title"), classify(title(s)).alias("kind"), F.col("__level").alias("level"), _entries(F.col("__top"), s, stop(k)).alias("entries")))
-    first = F.get("__top", F.get("__starts", F.lit(0)))["block_id"]
+    """The table with ``cv``: struct(header, links, sections, bullets) of its blocks.
+
+    The blocks at the top, their section level and the starts of sections are put into
+    one struct first, by one Generate over an array of one, so that the expressions after
+    it read what is computed once a row.
+    """
+    at_top = F.filter("blocks", lambda b: b["parent_id"].isNull())
+    pick = lambda top, level: F.filter(F.transform(top, lambda b, i: F.when((b["kind"] == "heading") & (b["level"] == level), i)), lambda i: i.isNotNull())
+    leveled = F.transform(F.array(at_top), lambda top: F.struct(top.alias("top"), _section_level(top).alias("level")))
+    made = F.transform(leveled, lambda x: F.struct(x["top"].alias("top"), x["level"].alias("level"), pick(x["top"], x["level"]).alias("starts")))
+    df = df.withColumn("__cv", F.explode(made))
+    top, level, starts = F.col("__cv.top"), F.col("__cv.level"), F.col("__cv.starts")
+    stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(top))
+    title = lambda s: strip(F.get(top, s)["text"])
+    sections = F.transform(starts, lambda s, k: F.struct(title(s).alias("title"), classify(title(s)).alias("kind"), level.alias("level"), _entries(top, s, stop(k)).alias("entries")))
+    first = F.get(top, F.get(starts, F.lit(0)))["block_id"]
     runs = F.flatten(F.transform(F.filter("blocks", lambda b: b["runs"].isNotNull() & (first.isNull() | (b["block_id"] < first))), lambda b: b["runs"]))
     cv = F.struct(
         F.array_join(F.transform(runs, lambda r: r["text"]), " ").alias("header"),
@@ -108,7 +112,7 @@ def with_cv(df: DataFrame) -> DataFrame:
         sections.alias("sections"),
         _bullets(F.col("blocks")).alias("bullets"),
     )
-    return _once(df, "cv", cv).drop("__top", "__level", "__starts")
+    return df.withColumn("cv", F.explode(F.array(cv))).drop("__cv")
 
 
 def _kinds(cv: Column) -> Column:
@@ -132,46 +136,47 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def missing_section(cv: Column) -> Column:
+def missing_section(cv: Column, config: Config = Config()) -> Column:
     return _if(~_main(cv), issue("cv-missing-section", "no Experience or Education section found; a CV is normally expected to have at least one", "warning"))
 
 
-def missing_contact(cv: Column) -> Column:
+def missing_contact(cv: Column, config: Config = Config()) -> Column:
     some = cv["header"].rlike("(?U)" + EMAIL) | cv["header"].rlike("(?U)" + URL) | cv["header"].rlike("(?U)" + PHONE) | (cv["links"] > 0)
     return _if(~some, issue("cv-missing-contact", "no email address, phone number or link found near the top; a reader has no way to make contact", "warning"))
 
 
-def not_reverse_chronological(cv: Column) -> Column:
+def not_reverse_chronological(cv: Column, config: Config = Config()) -> Column:
     key = lambda e: F.struct(F.when(e["ongoing"], 9999).otherwise(F.coalesce(e["end"], e["start"], F.lit(0))), F.coalesce(e["start"], F.lit(0)))
     later = lambda entries: F.exists(F.transform(entries, lambda e, i: F.coalesce(key(e) > F.when(i > 0, key(F.get(entries, i - 1))), F.lit(False))), lambda x: x)
     wrong = F.filter(cv["sections"], lambda s: s["kind"].isin("experience", "education", "projects") & later(s["entries"]))
     return F.transform(wrong, lambda s: issue("cv-not-reverse-chronological", _text("entries under ", quoted(s["title"]), " are not in reverse-chronological order; a CV normally lists the most recent first"), "warning"))
 
 
-def bullet_punctuation(cv: Column) -> Column:
+def bullet_punctuation(cv: Column, config: Config = Config()) -> Column:
     stops = F.size(F.filter(cv["bullets"], lambda t: t.endswith(".")))
     others = F.size(cv["bullets"]) - stops
     return _if((stops + others >= 3) & (stops > 0) & (others > 0), issue("cv-bullet-punctuation", _text(stops, " bullet(s) end with a full stop and ", others, " do not; pick one and use it throughout"), "info"))
 
 
-def first_person(cv: Column) -> Column:
+def first_person(cv: Column, config: Config = Config()) -> Column:
     found = F.filter(cv["bullets"], lambda t: t.rlike(_ANY_CASE + FIRST_PERSON))
     return _if(F.size(found) > 0, issue("cv-first-person", _text(F.size(found), " bullet(s) use first-person pronouns (e.g. ", quoted(F.left(F.get(found, F.lit(0)), F.lit(60))), "); a CV conventionally omits them"), "info"))
 
 
-def weak_opener(cv: Column) -> Column:
+def weak_opener(cv: Column, config: Config = Config()) -> Column:
     phrase = lambda t: F.coalesce(*[F.when(F.lower(t).startswith(p), F.lit(p)) for p in WEAK_OPENERS])
     found = F.filter(F.transform(cv["bullets"], phrase), lambda p: p.isNotNull())
     shown = F.array_join(F.transform(F.slice(F.array_sort(F.array_distinct(found)), 1, 3), quoted), ", ")
     return _if(F.size(found) > 0, issue("cv-weak-opener", _text(F.size(found), " bullet(s) open with a passive phrase (", shown, "); leading with an action verb reads stronger"), "info"))
 
 
-def bullet_too_long(cv: Column, limit: int = LONG_BULLET) -> Column:
+def bullet_too_long(cv: Column, config: Config = Config()) -> Column:
+    limit = config.int_option("cv-bullet-too-long", "max_length", LONG_BULLET)
     long = F.filter(F.transform(cv["bullets"], lambda t: F.length(t)), lambda n: n > limit)
     return _if(F.size(long) > 0, issue("cv-bullet-too-long", _text(F.size(long), f" bullet(s) run past {limit} characters (longest is ", F.array_max(long), "); long bullets stop being scannable"), "info"))
 
 
-def summary_placement(cv: Column) -> Column:
+def summary_placement(cv: Column, config: Config = Config()) -> Column:
     place = lambda kind: F.array_position(_kinds(cv), kind)
     return _if((place("experience") > 0) & (place("summary") > place("experience")), issue("cv-summary-placement", "the summary appears after the experience section; it is normally the first thing a reader sees", "info"))
 

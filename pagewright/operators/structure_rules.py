@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import is_blank, quoted
+from pagewright.functions.text import is_blank, let, quoted
 from pagewright.operators.source_rules import ISSUE, issue
 
 #: The date styles that are told apart.
@@ -31,11 +31,13 @@ def multiple_h1(blocks: Column) -> Column:
 
 
 def heading_skip(blocks: Column) -> Column:
-    heads = _of_kind(blocks, "heading")
-    # before the first heading the level counts as its own, so it never jumps
-    before = lambda h, i: F.coalesce(F.get(heads, i - 1)["level"], h["level"])
-    found = F.transform(heads, lambda h, i: F.when(h["level"] > before(h, i) + 1, issue("heading-skip", F.concat(F.lit("heading level jumps from h"), before(h, i).cast("string"), F.lit(" to h"), h["level"].cast("string"), F.lit(" at "), quoted(F.left(h["text"], F.lit(40)))), "warning")))
-    return F.filter(found, lambda x: x.isNotNull())
+    def found(heads: Column) -> Column:
+        # before the first heading the level counts as its own, so it never jumps
+        before = lambda h, i: F.coalesce(F.get(heads, i - 1)["level"], h["level"])
+        text = lambda h, i: F.concat(F.lit("heading level jumps from h"), before(h, i).cast("string"), F.lit(" to h"), h["level"].cast("string"), F.lit(" at "), quoted(F.left(h["text"], F.lit(40))))
+        return F.filter(F.transform(heads, lambda h, i: F.when(h["level"] > before(h, i) + 1, issue("heading-skip", text(h, i), "warning"))), lambda x: x.isNotNull())
+
+    return let(_of_kind(blocks, "heading"), found)
 
 
 def heading_empty(blocks: Column) -> Column:
@@ -43,19 +45,32 @@ def heading_empty(blocks: Column) -> Column:
 
 
 def mixed_markers(blocks: Column) -> Column:
-    """Runs of adjacent bullet lists with more than one marker, each run once."""
-    lists = F.filter(blocks, lambda b: (b["kind"] == "list") & ~b["ordered"])
-    adjacent = lambda a, b: a["parent_id"].eqNullSafe(b["parent_id"]) & (b["seq"] == a["seq"] + 1)
-    starts = F.filter(lists, lambda x: ~F.exists(lists, lambda y: adjacent(y, x)))
-
-    def markers(x: Column) -> Column:
-        end = lambda y: F.filter(starts, lambda s: s["parent_id"].eqNullSafe(y["parent_id"]) & (s["seq"] <= y["seq"]))
-        run = F.filter(lists, lambda y: y["parent_id"].eqNullSafe(x["parent_id"]) & (F.array_max(F.transform(end(y), lambda s: s["seq"])) == x["seq"]))
-        return F.array_sort(F.array_distinct(F.flatten(F.transform(run, lambda y: y["markers"]))))
-
+    """Bullet lists with several markers: a list that already has them, or a run of adjacent lists that differ.
+
+    One pass over the siblings in order carries the open run. A list with several markers
+    of its own is reported by itself and ends the run before it, of which nothing is said.
+    """
+    place = lambda b: F.struct(F.coalesce(b["parent_id"], F.lit(-1)).alias("parent"), b["seq"].alias("seq"), b["block_id"].alias("id"), F.array_distinct(F.filter(F.coalesce(b["markers"], F.array().cast("array<string>")), lambda m: m != "")).alias("markers"))
+    lists = F.array_sort(F.transform(F.filter(blocks, lambda b: (b["kind"] == "list") & ~b["ordered"]), place))
+    found_type, run_type = "array<struct<id:int,markers:array<string>>>", "struct<parent:int,seq:int,id:int,markers:array<string>>"
+    none = F.lit(None).cast(run_type)
+    report = lambda x: F.array(F.struct(x["id"].alias("id"), F.array_sort(x["markers"]).alias("markers")))
+    closed = lambda acc: F.when(F.size(acc["run"]["markers"]) > 1, F.concat(acc["found"], report(acc["run"]))).otherwise(acc["found"])
+
+    def step(acc: Column, x: Column) -> Column:
+        goes_on = F.coalesce((acc["run"]["parent"] == x["parent"]) & (acc["run"]["seq"] + 1 == x["seq"]), F.lit(False))
+        longer = F.struct(x["parent"].alias("parent"), x["seq"].alias("seq"), acc["run"]["id"].alias("id"), F.array_union(acc["run"]["markers"], x["markers"]).alias("markers"))
+        several = F.size(x["markers"]) > 1
+        dropped = F.when(goes_on, acc["found"]).otherwise(closed(acc))
+        return F.struct(
+            F.when(several, F.concat(dropped, report(x))).when(goes_on, acc["found"]).otherwise(closed(acc)).alias("found"),
+            F.when(several, none).when(goes_on, longer).otherwise(x.cast(run_type)).alias("run"),
+        )
+
+    start = F.struct(F.array().cast(found_type).alias("found"), none.alias("run"))
+    found = F.array_sort(F.aggregate(lists, start, step, closed))
     text = lambda m: F.concat(F.lit("bullet list mixes markers ["), F.array_join(F.transform(m, quoted), ", "), F.lit("]; the template's marker will be used throughout"))
-    found = F.filter(F.transform(starts, markers), lambda m: F.size(m) > 1)
-    return F.transform(found, lambda m: issue("list-mixed-markers", text(m), "warning", fixable=True))
+    return F.transform(found, lambda x: issue("list-mixed-markers", text(x["markers"]), "warning", fixable=True))
 
 
 def missing_alt(blocks: Column) -> Column:

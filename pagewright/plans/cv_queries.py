@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import cv_rules
 from pagewright.operators.cv_rules import CV_RULES
 from pagewright.plans import detect
-from pagewright.plans.queries import _COLUMNS, _LINES, Query, _row
+from pagewright.plans.queries import _ALL, _COLUMNS, _LINES, Query, _row
 from pagewright.sources.corpus import markdown_documents
 from pagewright.sources.markdown import with_blocks
 
@@ -67,7 +67,7 @@ secs AS (SELECT doc_id, n, title, level, {_KIND} AS kind, row_number() OVER w AS
 kinds AS (SELECT md.doc_id, coalesce(list(DISTINCT kind) FILTER (kind IS NOT NULL), []) AS ks, min(section_no) FILTER (kind = 'summary') AS s, min(section_no) FILTER (kind = 'experience') AS x, min(n) AS first
   FROM md LEFT JOIN secs USING (doc_id) GROUP BY md.doc_id),
 cvs AS (SELECT doc_id, len(ks) >= 2 AND list_has_any(ks, ['experience', 'education']) AS is_cv FROM kinds),
-bullets AS (SELECT doc_id, n, trim(l[3:]) AS bullet FROM lines WHERE NOT code AND regexp_matches(l, '^[-*+] ')),
+bullets AS (SELECT doc_id, n, trim(regexp_extract(l, '^ *. (.*)$', 1)) AS bullet FROM items, range(CASE WHEN starts_with(l, ' ') THEN 2 ELSE 1 END)),
 ranged AS (SELECT s.doc_id, s.section_no, s.title AS section, s.kind, h.n, h.title, regexp_extract(h.title, '(?i){_YEARS}', 1)::INT AS a, regexp_extract(h.title, '(?i){_YEARS}', 2) AS b
   FROM secs s JOIN heads h ON h.doc_id = s.doc_id AND h.n > s.n AND h.n < s.stop WHERE s.kind IS NOT NULL AND regexp_matches(h.title, '(?i){_YEARS}')),
 entries AS (SELECT *, try_cast(b AS INT) AS e, try_cast(b AS INT) IS NULL AS ongoing FROM ranged),
@@ -98,5 +98,6 @@ ORACLES: dict[str, str] = {
     "cv_bullets": f"WITH {_CV} SELECT doc_id, bullet FROM bullets",
     "cv_entries": f'WITH {_CV} SELECT doc_id, kind, title AS text, a AS start, e AS "end", ongoing FROM entries',
     "cv_detect": f"WITH {_CV} SELECT doc_id, is_cv FROM cvs",
+    "detect_all": f"WITH {_CV}, plain AS ({_ALL}), vitae AS (SELECT * FROM ({' UNION ALL '.join(f'SELECT doc_id, {_COLUMNS} FROM ({q})' for q in _PARTS.values())}) JOIN cvs USING (doc_id) WHERE is_cv) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY late, coalesce(line, 0), rule))::INT AS seq, {_COLUMNS} FROM (SELECT doc_id, {_COLUMNS}, 0 AS late FROM plain UNION ALL SELECT doc_id, {_COLUMNS}, 1 FROM vitae)",
     "detect_cv": f"WITH {_CV} SELECT doc_id, {_COLUMNS} FROM ({' UNION ALL '.join(f'SELECT doc_id, {_COLUMNS} FROM ({q})' for q in _PARTS.values())}) JOIN cvs USING (doc_id) WHERE is_cv",
 } | {f"rule_{rule.replace('-', '_')}": f"WITH {_CV} {sql}" for rule, sql in _PARTS.items()}

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.config import Config
 from pagewright.functions.text import code_flags, split_lines
 from pagewright.operators.cv_rules import CV_RULES, looks_like_cv, with_cv
-from pagewright.operators.source_rules import SOURCE_RULES
+from pagewright.operators.source_rules import ISSUE, SOURCE_RULES
 from pagewright.operators.structure_rules import STRUCTURE_RULES
+from pagewright.registry import all_rules
 from pagewright.sources.markdown import with_blocks
 
 SEVERITIES = ["error", "warning", "info"]
 
 
+def _none() -> Column:
+    return F.array().cast(f"array<{ISSUE}>")
+
+
 def source_issues(docs: DataFrame, rules: Iterable[str] = tuple(SOURCE_RULES), id_col: str = "doc_id") -> DataFrame:
     """Issues of the chosen rules over raw lines. Map only."""
     ready = docs.select(id_col, split_lines(F.col("source")).alias("lines")).withColumn("code", code_flags(F.col("lines")))
@@ -30,33 +36,73 @@ def structure_issues(docs: DataFrame, rules: Iterable[str] = tuple(STRUCTURE_RUL
     return ready.select(id_col, F.explode(found).alias("x")).select(id_col, "x.*")
 
 
-def cv_issues(docs: DataFrame, rules: Iterable[str] = tuple(CV_RULES), cv: bool | None = True, id_col: str = "doc_id") -> DataFrame:
+def cv_issues(docs: DataFrame, rules: Iterable[str] = tuple(CV_RULES), cv: bool | None = True, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
     """Issues of the chosen CV rules: of all documents, or if ``cv`` is None of those that look like a CV. Map only after the parse."""
     ready = with_cv(with_blocks(docs, id_col))
     if cv is None:
         ready = ready.filter(looks_like_cv(F.col("cv")))
-    found = F.concat(*[CV_RULES[r](F.col("cv")) for r in rules])
+    found = F.concat(*[CV_RULES[r](F.col("cv"), config) for r in rules])
     return ready.select(id_col, F.explode(found).alias("x")).select(id_col, "x.*")
 
 
-def detect(docs: DataFrame, disabled: Iterable[str] = (), severities: dict[str, str] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """All issues with seq, their place in the document's list: by line (none is 0), rule, and order of finding.
+def issue_arrays(docs: DataFrame, cv: bool | None = None, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
+    """The id, ``issues`` of the document in their order, and ``error``: why it could not be read. Map only.
 
-    Disabled rules are left out of the plan; severities replace those of rules.
+    The order is by line (none is 0), rule, and order of finding; then the issues of the CV
+    rules by rule, for all documents (``cv`` True), for those that look like a CV (None) or
+    for none. Rules that the configuration disables are left out of the plan.
     """
-    off = set(disabled)
-    both = with_blocks(docs, id_col, keep_source=True).withColumn("lines", split_lines(F.col("source"))).withColumn("code", code_flags(F.col("lines")))
-    parts = [f(F.col("blocks")) for r, f in STRUCTURE_RULES.items() if r not in off] + [f(F.col("lines"), F.col("code")) for r, f in SOURCE_RULES.items() if r not in off]
-    if not parts:
-        parts = [F.filter(STRUCTURE_RULES["heading-empty"](F.col("blocks")), lambda x: F.lit(False))]
+    both = with_blocks(docs, id_col, keep_source=True, keep_error=True).withColumn("lines", split_lines(F.col("source"))).withColumn("code", code_flags(F.col("lines")))
+    read = F.col("source").isNotNull()
+    parts = [f(F.col("blocks")) for r, f in all_rules("structure").items() if config.enabled(r)] + [F.when(read, f(F.col("lines"), F.col("code"))).otherwise(_none()) for r, f in all_rules("source").items() if config.enabled(r)]
     place = lambda x, i: F.struct(F.coalesce(x["line"], F.lit(0)).alias("at"), x["rule"].alias("by"), i.alias("found"), x.alias("x"))
-    out = both.select(id_col, F.posexplode(F.array_sort(F.transform(F.concat(*parts), place))).alias("p", "y")).select(id_col, (F.col("p") + 1).cast("int").alias("seq"), "y.x.*")
-    if severities:
-        named = F.create_map(*[F.lit(v) for kv in severities.items() for v in kv])
-        out = out.withColumn("severity", F.coalesce(F.try_element_at(named, F.col("rule")), "severity"))
-    return out
-
-
-def summary(issues: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Issues of each document by severity, and how many are fixed by formatting."""
-    return issues.groupBy(id_col).agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES], F.count_if("auto_fixable").alias("n_fixable"), F.count("*").alias("n_issues"))
+    issues = F.transform(F.array_sort(F.transform(F.concat(_none(), *parts), place)), lambda y: y["x"])
+    cv = config.cv if cv is None else cv
+    rules = {r: f for r, f in all_rules("cv").items() if config.enabled(r)}
+    if cv is not False and rules:
+        both = with_cv(both)
+        found = F.concat(_none(), *[rules[r](F.col("cv"), config) for r in sorted(rules)])
+        issues = F.concat(issues, found if cv else F.when(looks_like_cv(F.col("cv")), found).otherwise(_none()))
+    named = {r: v for r, v in config.rules.items() if isinstance(v, str)}
+    if named:
+        severity = F.create_map(*[F.lit(v) for kv in sorted(named.items()) for v in kv])
+        issues = F.transform(issues, lambda x: x.withField("severity", F.coalesce(F.try_element_at(severity, x["rule"]), x["severity"])))
+    return both.select(id_col, issues.alias("issues"), "error")
+
+
+def detect(docs: DataFrame, cv: bool | None = None, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
+    """All issues, one a row, with seq, their place in the document's list."""
+    found = issue_arrays(docs, cv, config, id_col)
+    return found.select(id_col, F.posexplode("issues").alias("p", "x")).select(id_col, (F.col("p") + 1).cast("int").alias("seq"), "x.*")
+
+
+def _of(severity: str):
+    return lambda x: x["severity"] == severity
+
+
+def summary(docs: DataFrame, cv: bool | None = None, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
+    """Issues of each document that has any, by severity, and how many are fixed by formatting. Counted in the row: no shuffle."""
+    n = lambda wanted: F.size(F.filter("issues", wanted)).cast("long")
+    counts = [n(_of(s)).alias(f"n_{s}") for s in SEVERITIES]
+    found = issue_arrays(docs, cv, config, id_col).filter(F.size("issues") > 0)
+    return found.select(id_col, *counts, n(lambda x: x["auto_fixable"]).alias("n_fixable"), F.size("issues").cast("long").alias("n_issues"))
+
+
+def report(docs: DataFrame, cv: bool | None = None, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
+    """The id, ``place``, and ``line``, the text of each issue, the worst first: by severity, line and rule."""
+    rank = lambda x: F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), x["severity"]), F.lit(0))
+    rank_ = lambda x: F.when(rank(x) == 0, len(SEVERITIES) + 1).otherwise(rank(x))
+    where = lambda x: F.when(x["line"].isNull(), "document").otherwise(F.concat(F.lit("line "), x["line"].cast("string")))
+    said = lambda x: F.concat(F.lit("["), x["severity"], F.lit("] "), x["rule"], F.lit(" ("), where(x), F.lit("): "), x["message"])
+    ordered = F.array_sort(F.transform("issues", lambda x, i: F.struct(rank_(x).alias("r"), F.coalesce(x["line"], F.lit(0)).alias("l"), x["rule"].alias("by"), i.alias("i"), said(x).alias("line"))))
+    found = issue_arrays(docs, cv, config, id_col).select(id_col, F.posexplode(ordered).alias("p", "y"))
+    return found.select(id_col, (F.col("p") + 1).cast("int").alias("place"), F.col("y.line").alias("line"))
+
+
+def outcomes(docs: DataFrame, cv: bool | None = None, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
+    """The id, number of issues, the summary in words, ``error``, and the exit status that the document alone gives: 0 clean, 1 issues, 2 error."""
+    n = {s: F.size(F.filter("issues", _of(s))) for s in SEVERITIES}
+    some = [F.when(n[s] > 0, F.concat(n[s].cast("string"), F.lit(f" {s}"))) for s in SEVERITIES]
+    words = F.array_join(F.filter(F.array(*some), lambda x: x.isNotNull()), ", ")
+    status = F.when(F.col("error").isNotNull(), 2).when(F.size("issues") > 0, 1).otherwise(0)
+    return issue_arrays(docs, cv, config, id_col).select(id_col, F.size("issues").alias("n_issues"), F.when(words == "", "no issues found").otherwise(words).alias("summary"), "error", status.alias("status"))
