@@ -52,7 +52,8 @@ def issue_arrays(docs: DataFrame, cv: bool | None = None, config: Config = Confi
     rules by rule, for all documents (``cv`` True), for those that look like a CV (None) or
     for none. Rules that the configuration disables are left out of the plan.
     """
-    both = with_blocks(docs, id_col, keep_source=True, keep_error=True).withColumn("lines", split_lines(F.col("source"))).withColumn("code", code_flags(F.col("lines")))
+    both = docs.select(id_col, "source", "blocks", "error") if {"blocks", "error"} <= set(docs.columns) else with_blocks(docs, id_col, keep_source=True, keep_error=True)
+    both = both.withColumn("lines", split_lines(F.col("source"))).withColumn("code", code_flags(F.col("lines")))
     read = F.col("source").isNotNull()
     parts = [f(F.col("blocks")) for r, f in all_rules("structure").items() if config.enabled(r)] + [F.when(read, f(F.col("lines"), F.col("code"))).otherwise(_none()) for r, f in all_rules("source").items() if config.enabled(r)]
     place = lambda x, i: F.struct(F.coalesce(x["line"], F.lit(0)).alias("at"), x["rule"].alias("by"), i.alias("found"), x.alias("x"))
@@ -88,21 +89,31 @@ def summary(docs: DataFrame, cv: bool | None = None, config: Config = Config(),
     return found.select(id_col, *counts, n(lambda x: x["auto_fixable"]).alias("n_fixable"), F.size("issues").cast("long").alias("n_issues"))
 
 
-def report(docs: DataFrame, cv: bool | None = None, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
-    """The id, ``place``, and ``line``, the text of each issue, the worst first: by severity, line and rule."""
-    rank = lambda x: F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), x["severity"]), F.lit(0))
-    rank_ = lambda x: F.when(rank(x) == 0, len(SEVERITIES) + 1).otherwise(rank(x))
+def report_lines(issues: Column) -> Column:
+    """The texts of issues, the worst first: by severity, line and rule."""
+    rank = lambda x: F.array_position(F.array(*map(F.lit, SEVERITIES)), x["severity"])
+    place = lambda x: F.when(rank(x) == 0, len(SEVERITIES) + 1).otherwise(rank(x))
     where = lambda x: F.when(x["line"].isNull(), "document").otherwise(F.concat(F.lit("line "), x["line"].cast("string")))
     said = lambda x: F.concat(F.lit("["), x["severity"], F.lit("] "), x["rule"], F.lit(" ("), where(x), F.lit("): "), x["message"])
-    ordered = F.array_sort(F.transform("issues", lambda x, i: F.struct(rank_(x).alias("r"), F.coalesce(x["line"], F.lit(0)).alias("l"), x["rule"].alias("by"), i.alias("i"), said(x).alias("line"))))
-    found = issue_arrays(docs, cv, config, id_col).select(id_col, F.posexplode(ordered).alias("p", "y"))
-    return found.select(id_col, (F.col("p") + 1).cast("int").alias("place"), F.col("y.line").alias("line"))
+    ordered = F.array_sort(F.transform(issues, lambda x, i: F.struct(place(x).alias("r"), F.coalesce(x["line"], F.lit(0)).alias("l"), x["rule"].alias("by"), i.alias("i"), said(x).alias("line"))))
+    return F.transform(ordered, lambda y: y["line"])
+
+
+def report(docs: DataFrame, cv: bool | None = None, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
+    """The id, ``place``, and ``line``, the text of each issue, the worst first."""
+    found = issue_arrays(docs, cv, config, id_col).select(id_col, F.posexplode(report_lines(F.col("issues"))).alias("p", "line"))
+    return found.select(id_col, (F.col("p") + 1).cast("int").alias("place"), "line")
+
+
+def words(issues: Column) -> Column:
+    """How many issues of each severity there are, in words."""
+    n = {s: F.size(F.filter(issues, _of(s))) for s in SEVERITIES}
+    some = [F.when(n[s] > 0, F.concat(n[s].cast("string"), F.lit(f" {s}"))) for s in SEVERITIES]
+    said = F.array_join(F.filter(F.array(*some), lambda x: x.isNotNull()), ", ")
+    return F.when(said == "", "no issues found").otherwise(said)
 
 
 def outcomes(docs: DataFrame, cv: bool | None = None, config: Config = Config(), id_col: str = "doc_id") -> DataFrame:
     """The id, number of issues, the summary in words, ``error``, and the exit status that the document alone gives: 0 clean, 1 issues, 2 error."""
-    n = {s: F.size(F.filter("issues", _of(s))) for s in SEVERITIES}
-    some = [F.when(n[s] > 0, F.concat(n[s].cast("string"), F.lit(f" {s}"))) for s in SEVERITIES]
-    words = F.array_join(F.filter(F.array(*some), lambda x: x.isNotNull()), ", ")
     status = F.when(F.col("error").isNotNull(), 2).when(F.size("issues") > 0, 1).otherwise(0)
-    return issue_arrays(docs, cv, config, id_col).select(id_col, F.size("issues").alias("n_issues"), F.when(words == "", "no issues found").otherwise(words).alias("summary"), "error", status.alias("status"))
+    return issue_arrays(docs, cv, config, id_col).select(id_col, F.size("issues").alias("n_issues"), words(F.col("issues")).alias("summary"), "error", status.alias("status"))
