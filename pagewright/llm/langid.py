@@ -44,6 +44,8 @@ ROWS_PER_LANGUAGE, SAMPLE_ROWS, LONGEST = 2000, 40_000, 4
 LEAST_COUNT = 3
 #: Words and bytes of their scores that a worker keeps.
 CACHE_WORDS, CACHE_BYTES = 300_000, 96 << 20
+#: Numbers of a level up to which a worker unfolds it whole.
+UNFOLDED = 1 << 21
 _LETTERS = regex.compile(r"\p{L}+")
 #: Words of whose evidence a certain document needs at least so many.
 EVIDENCE = 10
@@ -60,6 +62,7 @@ class Level:
     langs: np.ndarray
     logs: np.ndarray
     rest: np.ndarray
+    whole: np.ndarray | None = None
 
     @classmethod
     def of(cls, counts: pd.DataFrame, n: int) -> "Level":
@@ -72,6 +75,11 @@ class Level:
 
     def dense(self, rows: np.ndarray) -> np.ndarray:
         """The log frequencies of some rows in all languages."""
+        if self.whole is None and len(self.rows) * len(self.rest) <= UNFOLDED:
+            self.whole = self._unfolded(np.arange(len(self.rows)))
+        return self._unfolded(rows) if self.whole is None else self.whole[rows]
+
+    def _unfolded(self, rows: np.ndarray) -> np.ndarray:
         out = np.tile(self.rest, (len(rows), 1))
         sizes = self.starts[rows + 1] - self.starts[rows]
         at = np.arange(sizes.sum()) + np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes)
@@ -216,34 +224,36 @@ class Scorer:
     def _trigrams(self, words: list[str]) -> np.ndarray:
         """For each word the sum of its trigrams' log frequencies in each language, and their number."""
         level, unseen = self.model.grams[2], self.typical + UNSEEN
-        out = np.zeros((len(words), len(unseen) + 1))
-        for at, word in enumerate(words):
-            framed = f"^{word}$"
-            rows = [level.rows.get(framed[i : i + 3]) for i in range(len(framed) - 2)]
-            seen = np.array([r for r in rows if r is not None], np.intp)
-            out[at, :-1] = np.maximum(level.dense(seen), unseen).sum(0) + (len(rows) - len(seen)) * unseen
-            out[at, -1] = len(rows)
+        out, get = np.zeros((len(words), len(unseen) + 1)), level.rows.get
+        for at in range(0, len(words), 8192):
+            framed = [f"^{w}$" for w in words[at : at + 8192]]
+            sizes = np.fromiter((len(w) - 2 for w in framed), np.intp, len(framed))  # one at least
+            rows = np.fromiter((get(w[i : i + 3], -1) for w in framed for i in range(len(w) - 2)), np.intp, sizes.sum())
+            logs = np.broadcast_to(unseen, (len(rows), len(unseen))).copy()
+            seen = rows >= 0
+            logs[seen] = np.maximum(level.dense(rows[seen]), unseen)
+            out[at : at + len(framed), :-1] = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+            out[at : at + len(framed), -1] = sizes
         return out
 
-    def fluencies(self, texts: list[bytes], langs: list[str]) -> list[float | None]:
+    def fluencies(self, lists: list[list[str]], langs: list[str]) -> list[float | None]:
         """Mean log frequency of a text's trigrams in its language, less the mean of labelled rows; none if undetermined.
 
         Unlike the score it does not depend on which other languages there are.
         """
         if not self.model.languages:
-            return [None] * len(texts)
+            return [None] * len(lists)
         if self.typical is None:
             self.typical = self.model.grams[2].typical()
         number = {x: i for i, x in enumerate(self.model.languages)}
-        sums = self.trigrams.totals([[] if x == UNDETERMINED else _words(t) for t, x in zip(texts, langs, strict=True)])
+        sums = self.trigrams.totals([[] if x == UNDETERMINED else words for words, x in zip(lists, langs, strict=True)])
         return [float(s[number[x]] / s[-1] - self.typical[number[x]]) if s[-1] else None for s, x in zip(sums, langs, strict=True)]
 
-    def classify(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
+    def classify(self, lists: list[list[str]]) -> tuple[list[str], list[float]]:
+        """Language and score of each text, given as its words."""
         languages = self.model.languages
         if not languages:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        lists = [_words(t) for t in texts]
+            return [UNDETERMINED] * len(lists), [0.0] * len(lists)
         sizes = np.array([len(x) for x in lists])
         posterior = np.exp(_shares(self.words.totals(lists) * np.minimum(1.0, EVIDENCE / np.maximum(1, sizes))[:, None]))
         best = posterior.argmax(1)  # of equal ones the first by name
@@ -251,7 +261,7 @@ class Scorer:
         return langs, np.where(sizes > 0, posterior.max(1), 0.0).tolist()
 
 
-def _words(text: bytes) -> list[str]:
+def words_of(text: bytes) -> list[str]:
     return _LETTERS.findall(text.decode().lower())
 
 
@@ -274,9 +284,10 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         own = scorer(sent.value)
         for batch in batches:
             for part, texts in slices(batch, 1, 4 << 20):
-                langs, scores = own.classify(texts)
+                lists = [words_of(t) for t in texts]
+                langs, scores = own.classify(lists)
                 columns = [part.column(names.index(c)) for c in shown]
-                more = [pa.array(own.fluencies(texts, langs), pa.float64())] if fluency else []
+                more = [pa.array(own.fluencies(lists, langs), pa.float64())] if fluency else []
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], names=[*shown, *made])
 
     fields = df.select(*[F.col(c) for c in names]).schema

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -391,3 +392,79 @@ def test_revisits_of_files(tmp_path, spark):
         assert got["<urn:1>"]["headers"] == {"content-type": "text/html", "etag": 'W/"x"', "date": "later"}
     twice = warc.resolve_revisits(found.unionByName(found)).collect()
     assert len(twice) == 4 and {r["refers_to"] for r in twice} == {"<urn:2>", None}
+
+
+def plain_language(text, counts, grams, languages, least=3):
+    """The score of a text, word by word, from counts by language."""
+    import math
+
+    def shares(scores):
+        top = max(scores)
+        total = math.log(sum(math.exp(x - top) for x in scores)) + top
+        return [x - total for x in scores]
+
+    def logs(table, kinds, key):
+        return [math.log(table.get(key, {}).get(x, 0) + 0.5) - math.log(sum(t.get(x, 0) for t in table.values()) + 0.5 * kinds) for x in languages]
+
+    known = {w: c for w, c in counts.items() if sum(c.values()) >= least}
+    words = regex.findall(r"\p{L}+", text.lower())
+    total = [0.0] * len(languages)
+    for w in words:
+        own = None
+        if w in known:
+            own = shares(logs(known, len(known), w))
+        else:
+            framed = f"^{w}$"
+            for size in (4, 3, 2, 1):
+                parts = [framed[i : i + size] for i in range(len(framed) - size + 1)]
+                found = [logs(grams[size], len(grams[size]), g) for g in parts if g in grams[size]]
+                if found:
+                    own = shares([sum(x) / len(found) for x in zip(*found, strict=True)])
+                    break
+        total = [a + b for a, b in zip(total, own or [0.0] * len(languages), strict=True)]
+    if not words:
+        return "und", 0.0
+    scaled = shares([x * min(1.0, 10 / len(words)) for x in total])
+    best = max(range(len(languages)), key=lambda i: (scaled[i], -i))
+    return languages[best], math.exp(scaled[best])
+
+
+def test_language_equals_a_plain_scorer(spark, monkeypatch):
+    rng = random.Random(3)
+    stems = {"en": ["the", "house", "river", "with", "along"], "de": ["der", "haus", "fluss", "mit", "entlang"], "xx": ["ђ", "ж"]}
+    text = lambda lang: " ".join(rng.choice(stems[lang]) + rng.choice(["", "", "s", "en", "x"]) for _ in range(rng.randint(1, 12)))
+    labelled = [(i if i % 9 else None, text(lang), lang) for i, lang in enumerate(["en", "de", "xx"] * 40)]
+    counts, grams = {}, {n: {} for n in (1, 2, 3, 4)}
+    for _, t, lang in labelled:
+        for w in t.lower().split():
+            counts.setdefault(w, {}).setdefault(lang, 0)
+            counts[w][lang] += 1
+            framed = f"^{w}$"
+            for n, table in grams.items():
+                for i in range(len(framed) - n + 1):
+                    held = table.setdefault(framed[i : i + n], {})
+                    held[lang] = held.get(lang, 0) + 1
+    model = langid.train(spark.createDataFrame(labelled + labelled[:30] * 5, "doc_id long, text string, lang string"))  # a repeated row counts once
+    asked = [text(lang) for lang in stems for _ in range(20)] + ["riverhouse flussen", "qqq", "123", "", "ж " * 500, "the " * 400 + "mit"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)] + [(999, None)], "doc_id long, text string")
+    for limit in (langid.CACHE_WORDS, 7):  # a cache of a few words gives the same
+        monkeypatch.setattr(langid, "UNFOLDED", 0 if limit == 7 else langid.UNFOLDED)
+        scorer = langid.Scorer(model, limit)
+        langs, scores = scorer.classify([langid.words_of(t.encode()) for t in asked])
+        for t, lang, score in zip(asked, langs, scores, strict=True):
+            want = plain_language(t, counts, grams, sorted(stems))
+            assert abs(want[1] - score) < 1e-9 and (lang == want[0] or abs(score - 1 / 3) < 1e-9), t
+    got = by_id(langid.identify(docs, model, fluency=True, prefix="x_"))
+    assert [got[i]["x_lang_pred"] for i in range(len(asked))] == langs and got[999]["x_lang_pred"] == "und" and got[999]["x_fluency"] is None
+    with pytest.raises(ValueError):
+        langid.identify(docs.withColumn("score", F.lit(1)), model, keep=("score",))
+
+
+def test_many_labels_are_all_kept(spark):
+    rows = [(i, f"{chr(97 + i // 26)}{chr(97 + i % 26)}zu" * 2, f"l{i:03}") for i in range(400) for _ in range(2)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=1000)
+    assert len(model.languages) == 400
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    nameless = spark.createDataFrame([(None, letters(i), "a") for i in range(3000)], "doc_id long, text string, lang string")
+    few = langid.train(nameless, rows_per_language=100, least_count=1)
+    assert 60 < len(few.words.rows) < 150  # rows without an id are sampled like others
