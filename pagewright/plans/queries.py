@@ -19,7 +19,7 @@ from pagewright.operators.source_rules import SOURCE_RULES
 from pagewright.operators.structure_rules import DATE_STYLES, STRUCTURE_RULES
 from pagewright.plans import detect
 from pagewright.plans.inventory import inventory
-from pagewright.sources import paths
+from pagewright.sources import docx, paths
 from pagewright.sources.corpus import MARKDOWN, block, markdown_documents
 from pagewright.sources.markdown import with_blocks
 from pagewright.templates import table as template_table
@@ -179,12 +179,26 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("doc_id", paths.default_output(path).alias("output"), paths.mirrored(path, "docs", "out/").alias("mirrored"), paths.extracted(path).alias("extracted"))
 
 
+def read_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of the documents, written to Word files and read again."""
+    made = docx.write_docx(markdown_documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("path"), "content")
+    found = docx.read_docx(made).select(F.col("path").cast("long").alias("doc_id"), F.explode(F.filter("blocks", lambda b: b["kind"] == "heading")).alias("b"))
+    return found.select("doc_id", F.col("b.level").alias("level"), F.col("b.text").alias("text"))
+
+
+def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of each kind Word files keep; beyond SQL."""
+    made = docx.write_docx(markdown_documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("path"), "content")
+    found = docx.read_docx(made).select(F.col("path").cast("long").alias("doc_id"), F.explode("blocks").alias("b"))
+    return found.groupBy("doc_id", F.col("b.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
 def rules_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory(spark)
+    return inventory(spark).drop("about")
 
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_table(spark)
+    return template_table(spark).select("name", "bullet", "emphasis", "headings", "wrap")
 
 
 QUERIES: dict[str, Query] = {
@@ -227,6 +241,8 @@ QUERIES: dict[str, Query] = {
     "render_quotes": _rendered("quote"),
     "format_markdown": format_markdown,
     "format_diff": format_diff,
+    "read_docx": read_docx,
+    "docx_blocks": docx_blocks,
     "rules_inventory": rules_inventory,
     "templates": templates,
 }
@@ -293,6 +309,14 @@ ORACLES: dict[str, str] = {
     "render_code": f"WITH {_LINES}, opened AS (SELECT doc_id, n, l, sum(CASE WHEN regexp_matches(l, '{FENCE}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM lines WHERE code) SELECT doc_id, string_agg(l, chr(10) ORDER BY n) || chr(10) || '```' AS markdown FROM opened WHERE k % 2 = 1 GROUP BY doc_id, k",
     "render_tables": f"WITH {_LINES} SELECT DISTINCT doc_id, '| Item  | Count |' || chr(10) || '| ----- | ----: |' || chr(10) || '| nuts  | 12    |' || chr(10) || '| bolts | 7     |' AS markdown FROM lines WHERE NOT code AND l = '| Item | Count |'",
     "render_quotes": f"WITH {_LINES} SELECT doc_id, '> ' || string_agg(l[3:], ' ' ORDER BY n) AS markdown FROM lines WHERE NOT code AND starts_with(l, '> ') GROUP BY doc_id",
+    "rules_inventory": """SELECT rule, family, true AS enabled, NULL::VARCHAR AS severity, false AS added FROM (
+      SELECT unnest(['heading-multiple-h1', 'heading-skip', 'heading-empty', 'list-mixed-markers', 'image-missing-alt', 'table-ragged-row', 'date-inconsistent', 'paragraph-empty']) AS rule, 'structure' AS family
+      UNION ALL SELECT unnest(['whitespace-trailing', 'whitespace-blank-run', 'whitespace-tab-indent', 'quotes-mixed']), 'source'
+      UNION ALL SELECT unnest(['cv-missing-section', 'cv-missing-contact', 'cv-not-reverse-chronological', 'cv-bullet-punctuation', 'cv-first-person', 'cv-weak-opener', 'cv-bullet-too-long', 'cv-summary-placement']), 'cv'
+      UNION ALL SELECT unnest(['font-coverage', 'font-unavailable', 'font-embed-cjk-unavailable', 'font-not-pinned', 'font-style-missing']), 'font')""",
+    "templates": """SELECT name, '-' AS bullet, CASE name WHEN 'friendly' THEN '_' ELSE '*' END AS emphasis, 'atx' AS headings, CASE name WHEN 'technical' THEN 80 ELSE 0 END AS wrap
+      FROM (SELECT unnest(['cv-classic', 'cv-compact', 'cv-modern', 'formal', 'friendly', 'minimal', 'reproducible', 'technical']) AS name)""",
+    "read_docx": f"WITH {_LINES} SELECT doc_id, level::INT AS level, title AS text FROM heads",
     "scan_by_extension": f"SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'markdown' WHEN 1 THEN 'markdown' WHEN 2 THEN 'markdown' WHEN 3 THEN 'docx' WHEN 6 THEN 'pdf' END AS format, doc_id % 7 IN (4, 5) AS unsupported FROM documents",
     "scan_targets": f"SELECT doc_id, path FROM (SELECT doc_id, source, {_PATH} AS path FROM documents) WHERE doc_id % 7 IN (0, 1, 3, 6) AND doc_id % 5 <> 0 AND doc_id % 2 = 0 AND source <> 'src3' AND NOT (doc_id BETWEEN 10 AND 19 AND doc_id % 7 = 0)",
     "exclude_globs": f"SELECT doc_id, source = 'src1' OR (doc_id::VARCHAR LIKE '2%' AND doc_id % 7 IN (0, 2)) AS excluded FROM documents",
