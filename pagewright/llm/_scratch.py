@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -59,6 +61,23 @@ def fresh(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+def position(value: Column, points: list, kind: str) -> Column:
+    """How many of the points, given in order, are below the value: a binary search, whose plan does not grow with them.
+
+    kind: the type of a point as SQL; points of structs are dictionaries.
+    """
+    table = F.from_json(F.lit(json.dumps(points)), f"array<{kind}>")  # folded to one literal
+    ends = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        halved = F.when(value > F.get(table, mid), ends(mid + 1, acc["high"])).otherwise(ends(acc["low"], mid))
+        return F.when(acc["low"] >= acc["high"], acc).otherwise(halved)
+
+    start = ends(F.lit(0), F.lit(len(points)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(points).bit_length())), start, step, lambda acc: acc["low"])
+
+
 _KEPT: dict[tuple, object] = {}
 
 

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm._scratch import slices
+from pagewright.llm._scratch import position, slices
 
 #: Two primes under 2**28 and a base for each.
 MODULI = ((268435399, 91648253), (268435367, 203746621))
@@ -190,15 +190,6 @@ def edited(text: str, other: str) -> str:
 SAMPLED = 50
 
 
-def _place(key: Column, splits: list[tuple], literal, low: int = 0, high: int | None = None) -> Column:
-    """How many splits are at or over the key, as a binary search of expressions."""
-    high = len(splits) if high is None else high
-    if low == high:
-        return F.lit(len(splits) - low)
-    mid = (low + high) // 2
-    return F.when(key > literal(splits[mid]), _place(key, splits, literal, mid + 1, high)).otherwise(_place(key, splits, literal, low, mid))
-
-
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, text, ghost), each partition in descending order of id and closed by the row that follows its last.
 
@@ -215,13 +206,13 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the same in every job over the same input; nulls are least, so they come last
     rows = rows.withColumn("key", F.struct(F.col("id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("n")))
-    literal = lambda k: F.struct(F.lit(k[0]).cast(kind).alias("i"), F.lit(k[1]).cast("long").alias("h"), F.lit(k[2]).cast("long").alias("n"))
     n = df.count()
     share = min(1.0, SAMPLED * parts / max(1, n))
     sample = sorted((tuple(r["key"]) for r in rows.select("key").filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) / 1e6 < share).collect()), key=_nulls_first)
     splits = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
     splits = [k for at, k in enumerate(splits) if not at or k != splits[at - 1]]
-    bucket = _place(F.col("key"), splits, literal).cast("int")
+    points = [{"i": i, "h": h, "n": n} for i, h, n in splits]
+    bucket = (F.lit(len(splits)) - position(F.col("key"), points, f"struct<i:{kind},h:bigint,n:bigint>")).cast("int")
     firsts = sorted((r["bucket"], tuple(r["key"])) for r in rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.max("key").alias("key")).collect())
     ghosts = [(*first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
     # a row for each partition

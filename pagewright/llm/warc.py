@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm._scratch import position
+
 #: Header fields that a not-modified reply may update (RFC 9110, section 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 
@@ -59,9 +61,11 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
         records = records.withColumn("ts", F.try_to_timestamp("ts"))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = records.filter(F.col("warc_type").isin("response", "revisit")).select("record_id", "warc_type", canonical_url(F.col("url")).alias("canonical_url"), "ts", "etag", "last_modified", "headers")
-    splits = records.agg(F.percentile_approx("ts", [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    # ranges need the order of times alone, which numbers keep
+    at = F.unix_micros("ts") if isinstance(records.schema["ts"].dataType, T.TimestampType) else F.col("ts")
+    splits = records.agg(F.percentile_approx(at.cast("double"), [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("q")).first()["q"] or []
     full = F.when(F.col("warc_type") == "response", F.struct("record_id", "etag", "last_modified", "headers"))
-    placed = rows.withColumn("part", _range_of(F.col("ts"), sorted(set(splits)))).withColumn("full", full)
+    placed = rows.withColumn("part", position(at.cast("double"), sorted(set(splits)), "double")).withColumn("full", full)
     good = placed.filter("canonical_url is not null and ts is not null")
     order = Window.partitionBy("canonical_url", "part").orderBy("ts", "record_id")
     own = good.withColumn("near", F.last("full", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).filter("warc_type = 'revisit'")
@@ -86,15 +90,6 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     return out.select("record_id", "canonical_url", F.col("original.record_id").alias("refers_to"), "status", F.when(F.col("status") == "resolved", merged).alias("headers")).unionByName(lost)
 
 
-def _range_of(column: Column, splits: list, low: int = 0, high: int | None = None) -> Column:
-    """How many splits are below the value, as a binary search of expressions."""
-    high = len(splits) if high is None else high
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(column > F.lit(splits[mid]), _range_of(column, splits, mid + 1, high)).otherwise(_range_of(column, splits, low, mid))
-
-
 def header_text(headers: Column) -> Column:
     """A header map as sorted lines "name: value", joined by "|"; names in lower case."""
     return F.array_join(F.array_sort(F.transform(F.map_entries(headers), lambda e: F.concat(F.lower(e["key"]), F.lit(": "), e["value"]))), "|")
