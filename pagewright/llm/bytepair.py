@@ -349,4 +349,4 @@ def bpe_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(ids_col).cast("array<int>")).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return df.select(F.col(id_col), F.col(ids_col).cast("array<bigint>")).mapInArrow(run, f"`{id_col}` {kind}, text string")

@@ -141,16 +141,36 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for i, s in licences.SENTENCES.items())
+    """Word by word: a sentence's words side by side, a mark before the first and after the last, no paragraph's end between.
+
+    Of sentences from one word the longest counts, and none that starts inside one that starts before.
+    """
+    known = ", ".join(f"(string_split('{s}', ' '), '{i}')" for i, s in licences.SENTENCES.items())
     rules = ", ".join(f"({n + 1}, '{name}', ',{','.join(ids)},')" for n, (name, ids) in enumerate(licences.RULES))
     return f"""
-WITH known(s, id) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
-parts AS (
-  SELECT doc_id, unnest(string_split_regex(text, '[.!?;:]+[ \\t\\r\\n\\f]+|\\n+')) AS s,
-    generate_subscripts(string_split_regex(text, '[.!?;:]+[ \\t\\r\\n\\f]+|\\n+'), 1) AS i FROM documents
+WITH known(a, id) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
+marked AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\\n[^a-z0-9\\n]*\\n[^a-z0-9]*', 'P', 'g'),
+    '[.!?;:]+[ \\t\\r\\n\\f]+|\\n+', 'S', 'g'), '[^a-z0-9PS]+', ' ', 'g') AS t FROM documents
+), tokens AS (
+  SELECT doc_id, string_split(replace(replace('P' || t || 'P', 'P', ' P '), 'S', ' S '), ' ') AS ts FROM marked
+), each AS (
+  SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM tokens
+), told AS (
+  SELECT *, lag(t) OVER w IN ('P', 'S') AS opens, lead(t) OVER w IN ('P', 'S') AS closes, sum((t = 'P')::INT) OVER w AS paragraph
+  FROM each WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+), words AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM told WHERE t NOT IN ('P', 'S')
+), texts AS (
+  SELECT doc_id, list(t ORDER BY p) AS ws, list(closes ORDER BY p) AS ends, list(paragraph ORDER BY p) AS ps FROM words GROUP BY doc_id
+), met AS (
+  SELECT w.doc_id, w.i, k.id, len(k.a) AS m FROM words w JOIN known k ON w.opens AND w.t = k.a[1] JOIN texts x ON x.doc_id = w.doc_id
+  WHERE x.ws[w.i : w.i + len(k.a) - 1] = k.a AND x.ends[w.i + len(k.a) - 1] AND x.ps[w.i + len(k.a) - 1] = w.paragraph
+), longest AS (
+  SELECT doc_id, i, arg_max(id, m) AS id, max(m) AS m FROM met GROUP BY doc_id, i
 ), found AS (
-  SELECT p.doc_id, string_agg(k.id, ',' ORDER BY p.i) AS ids, count(*) AS n
-  FROM parts p JOIN known k ON trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g')) = k.s GROUP BY p.doc_id
+  SELECT doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM longest b
+  WHERE NOT EXISTS (SELECT 1 FROM longest e WHERE e.doc_id = b.doc_id AND e.i < b.i AND b.i < e.i + e.m) GROUP BY doc_id
 ), ruled AS (
   SELECT f.doc_id, min(r.rule) AS rule, min_by(r.licence, r.rule) AS licence
   FROM found f JOIN rules r ON contains(',' || f.ids || ',', r.ids) GROUP BY f.doc_id

@@ -2,9 +2,11 @@
 
 import textwrap
 
+import duckdb
 import pytest
 
 from pagewright.llm import licences
+from pagewright.llm.queries import ORACLES
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -84,3 +86,15 @@ def test_every_sentence_has_a_telling_word():
     assert set(licences.telling_words(licences.SENTENCES)) <= set(licences.TELLING) | {"unencumbered"}
     ids = {i for _, sequence in licences.RULES for i in sequence}
     assert ids <= set(licences.SENTENCES)
+
+
+def test_sql_finds_what_the_operator_finds(spark):
+    texts = [t for t, *_ in WANT] + [t for t, _ in MORE]
+    rows = [(i, "\n".join((sign + x).rstrip() for part in t.split("\n\n") for x in [*textwrap.wrap(part, width), ""])) for i, (t, width, sign) in enumerate((t, w, s) for t in texts for w in (25, 70, 9999) for s in ("", "# "))]
+    rows += [(1000, None), (1001, ""), (1002, "All rights\n\nreserved."), (1003, MIT + BSD3), (1004, "MIT License\n\n" + MIT), (1005, "all rights reserved. All rights reserved!")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(map(repr, con.sql(f"SELECT doc_id, sentence_ids, n_known, rule, licence FROM ({ORACLES['op9_licences']})").fetchall()))
+    got = licences.recognise(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "sentence_ids", "n_known", "rule", "licence").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
