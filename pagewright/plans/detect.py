@@ -50,12 +50,15 @@ def issue_arrays(docs: DataFrame, cv: bool | None = None, config: Config = Confi
 
     The order is by line (none is 0), rule, and order of finding; then the issues of the CV
     rules by rule, for all documents (``cv`` True), for those that look like a CV (None) or
-    for none. Rules that the configuration disables are left out of the plan.
+    for none. Rules that the configuration disables are left out of the plan, and documents
+    that have ``blocks`` and ``error`` already, of whatever format, are not parsed. Line rules
+    run before the parse, so that sources do not come back from Python.
     """
-    both = docs.select(id_col, "source", "blocks", "error") if {"blocks", "error"} <= set(docs.columns) else with_blocks(docs, id_col, keep_source=True, keep_error=True)
-    both = both.withColumn("lines", split_lines(F.col("source"))).withColumn("code", code_flags(F.col("lines")))
-    read = F.col("source").isNotNull()
-    parts = [f(F.col("blocks")) for r, f in all_rules("structure").items() if config.enabled(r)] + [F.when(read, f(F.col("lines"), F.col("code"))).otherwise(_none()) for r, f in all_rules("source").items() if config.enabled(r)]
+    lined = docs.withColumn("lines", split_lines(F.col("source"))).withColumn("code", code_flags(F.col("lines")))
+    by_line = F.concat(_none(), *[f(F.col("lines"), F.col("code")) for r, f in all_rules("source").items() if config.enabled(r)])
+    said = lined.withColumn("said", F.when(F.col("source").isNotNull(), by_line).otherwise(_none()))
+    both = said.select(id_col, "said", "blocks", "error") if {"blocks", "error"} <= set(docs.columns) else with_blocks(said, id_col, keep=("said",), keep_error=True)
+    parts = [f(F.col("blocks")) for r, f in all_rules("structure").items() if config.enabled(r)] + [F.col("said")]
     place = lambda x, i: F.struct(F.coalesce(x["line"], F.lit(0)).alias("at"), x["rule"].alias("by"), i.alias("found"), x.alias("x"))
     issues = F.transform(F.array_sort(F.transform(F.concat(_none(), *parts), place)), lambda y: y["x"])
     cv = config.cv if cv is None else cv

@@ -92,17 +92,16 @@ def _entry(paragraph, names: dict[str, str], targets: dict[str, str]) -> tuple |
 
 
 def _nested(entries: list[tuple]) -> list[dict]:
-    """Lists from items with levels: an item goes to the open list of its level and kind, else opens one in the last item above."""
+    """Lists from items with levels. An item closes deeper lists and one of its level of the other kind."""
     top: list[dict] = []
-    open_: list[tuple[int, dict]] = []
+    lists: dict[int, dict] = {}  # the open one of each level
     for _, (level, ordered), runs in entries:
-        while open_ and (open_[-1][0] > level or (open_[-1][0] == level and open_[-1][1]["ordered"] != ordered)):
-            open_.pop()
-        if not open_ or open_[-1][0] < level:
-            new = {"kind": "list", "ordered": ordered, "start": 1, "markers": [], "children": []}
-            (open_[-1][1]["children"][-1]["children"] if open_ else top).append(new)
-            open_.append((level, new))
-        open_[-1][1]["children"].append({"kind": "item", "runs": runs, "children": []})
+        lists = {n: x for n, x in lists.items() if n < level or (n == level and x["ordered"] is ordered)}
+        if level not in lists:
+            holder = lists[max(lists)]["children"][-1]["children"] if lists else top
+            lists[level] = {"kind": "list", "ordered": ordered, "start": 1, "markers": [], "children": []}
+            holder.append(lists[level])
+        lists[level]["children"].append({"kind": "item", "runs": runs, "children": []})
     return top
 
 

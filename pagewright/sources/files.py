@@ -56,7 +56,7 @@ def read_files(files: DataFrame) -> DataFrame:
     own = files.withColumn("format", paths.format_of(F.col("path"), formats()))
     text = F.expr("try_validate_utf8(CAST(content AS STRING))")
     marked = own.filter("format = 'markdown'").select("path", "base", text.alias("source"), F.when(text.isNull(), "the file is not valid UTF-8").alias("bad"))
-    blocks = with_blocks(marked.select(F.struct("path", "base", "bad").alias("id"), "source"), "id", keep_source=True, keep_error=True)
+    blocks = with_blocks(marked.select(F.struct("path", "base", "bad").alias("id"), "source"), "id", keep=("source",), keep_error=True)
     parts = [blocks.select("id.path", "id.base", "source", "blocks", F.coalesce("id.bad", "error").alias("error"))]
     none = F.lit(None).cast("string").alias("source")
     word = own.filter("format = 'docx'")

@@ -463,17 +463,23 @@ def safely(read, text: str | None) -> tuple[object, str | None]:
         return None, f"{type(error).__name__}: {error}"
 
 
-def with_blocks(docs: DataFrame, id_col: str = "doc_id", keep_source: bool = False, keep_error: bool = False) -> DataFrame:
-    """The id, and ``blocks``: the block rows of the document; with the source and what could not be read if asked."""
+def with_blocks(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), keep_error: bool = False) -> DataFrame:
+    """The id, the columns of ``keep``, and ``blocks``: the block rows of the document; also what could not be read if asked.
+
+    Sources go to Python and do not come back unless they are kept: what needs lines is best computed before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [safely(lambda t: flatten(parse(t)), t) for t in part.column(1).to_pylist()]
-                columns = [part.column(0), *([part.column(1)] if keep_source else []), pa.array([b or [] for b, _ in made], pa.list_(_BLOCK))]
+                made = [safely(lambda t: flatten(parse(t)), t) for t in part.column(0).to_pylist()]
+                columns = [*(part.column(places[c]) for c in shown), pa.array([b or [] for b, _ in made], pa.list_(_BLOCK))]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array([e for _, e in made], pa.string())] if keep_error else [])], names=names)
 
-    names = [id_col, *(["source"] if keep_source else []), "blocks", *(["error"] if keep_error else [])]
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col("source")).mapInArrow(run, f"`{id_col}` {kind}, {'source string, ' if keep_source else ''}blocks array<{BLOCK}>{', error string' if keep_error else ''}")
+    shown = [id_col, *keep]
+    sent = ["source", *(c for c in shown if c != "source")]
+    places = {c: i for i, c in enumerate(sent)}
+    names = [*shown, "blocks", *(["error"] if keep_error else [])]
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in shown]
+    return docs.select(*[F.col(c) for c in sent]).mapInArrow(run, ", ".join([*kinds, f"blocks array<{BLOCK}>", *(["error string"] if keep_error else [])]))
