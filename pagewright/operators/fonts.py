@@ -1,9 +1,10 @@
 """Fonts: what files say of themselves, families, licences, and which font shows which character.
 
 Fonts of a machine are few (files in thousands at most), texts are not: tables of fonts
-are small sides that Spark may broadcast by their size, and of texts only distinct
-characters are looked up, by block of 256 code points, so that a range is an equal key
-and a condition.
+are small sides that Spark may broadcast by their size. For coverage only the distinct
+characters of texts are looked up, by block of 256 code points, so that a range is an
+equal key and a condition. Spans keep texts in their rows: the chain becomes a table of
+all code points, and one Arrow pass finds the spans in the bytes of many texts at once.
 
 Defined results for odd input: null and empty texts have no spans; a character that no
 font shows stays in the span it stands in and is reported; a family without faces, or a
@@ -370,24 +371,107 @@ def first_font(characters: DataFrame, fonts: DataFrame) -> DataFrame:
     return met.groupBy("char").agg(F.min(F.struct("ord", "font")).alias("f")).select("char", "f.ord", "f.font")
 
 
-def _characters(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "")).alias("pos", "char")).filter("char <> ''")
+#: In the table of code points: shown by no font, and white space.
+_GONE, _BLANK = -1, -2
+#: Bytes of whole texts that become one batch, and bytes that are read at once.
+SLICE, PIECE = 1 << 22, 1 << 20
+_CODES = 0x110000
+_SPACES = [c for c in range(0x3001) if chr(c).isspace()]  # those of WS
+
+
+def _codes(raw: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The code points of the characters that begin at ``lead`` in UTF-8."""
+    code = raw[lead].astype(np.int32)
+    long = np.flatnonzero(code >= 0x80)
+    first, more = code[long], 1 + (code[long] >= 0xE0) + (code[long] >= 0xF0)
+    value = first & (0x3F >> more)
+    for i in (1, 2, 3):
+        follows = raw[np.minimum(lead[long] + i, raw.size - 1)].astype(np.int32) & 0x3F
+        value = np.where(more >= i, value << 6 | follows, value)
+    code[long] = np.minimum(value, _CODES - 1)
+    return code
+
+
+def _runs(data: np.ndarray, ends: np.ndarray, table: np.ndarray, primary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the texts between ``ends``: where they begin, their fonts; and by span the characters that no font shows: span, place, length.
+
+    Bytes are read in pieces, so that one long text takes no more memory than many short ones; the font is carried from piece to piece.
+    """
+    begins, shown, keys, places, lengths = [], [], [], [], []
+    n, at, font = 0, int(ends[0]), -1
+    while at < ends[-1]:
+        to = min(at + PIECE, int(ends[-1]))
+        while to < ends[-1] and data[to] & 0xC0 == 0x80:
+            to += 1
+        raw, heads = data[at:to], ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at
+        is_lead = (raw & 0xC0) != 0x80
+        is_lead[heads] = True
+        is_lead[0] = True
+        lead = np.flatnonzero(is_lead)
+        heads, code = np.searchsorted(lead, heads), _codes(raw, lead)
+        own = table[code]
+        known = own.copy()
+        known[heads] = np.where(own[heads] < 0, primary, own[heads])
+        known[0] = font if known[0] < 0 else known[0]
+        known = known[np.maximum.accumulate(np.where(known >= 0, np.arange(known.size), 0))]
+        cut = np.append(known[0] != font, known[1:] != known[:-1])
+        cut[heads] = True
+        gone, width = np.flatnonzero(own == _GONE), np.diff(np.append(lead, raw.size))
+        key, met = np.unique((n - 1 + np.cumsum(cut)[gone]) * _CODES + code[gone], return_index=True)
+        for out, part in ((begins, lead[cut] + at), (shown, known[cut]), (keys, key), (places, lead[gone[met]] + at), (lengths, width[gone[met]])):
+            out.append(part)
+        n, at, font = n + int(cut.sum()), to, int(known[-1])
+    key, met = np.unique(np.concatenate(keys), return_index=True)
+    return np.concatenate(begins), np.concatenate(shown), key // _CODES, np.concatenate(places)[met], np.concatenate(lengths)[met]
+
+
+def _texts(kind: pa.DataType, ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    wide = np.int64 if pa.types.is_large_string(kind) else np.int32
+    return pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(ends.astype(wide)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def font_spans(df: DataFrame, fonts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, span, font, text, missing): each text as spans of one font. White space and what no font shows stay where they stand."""
-    chars = _characters(df, id_col, text_col)
-    known = first_font(chars, fonts)
-    primary = fonts.filter("ord = 1").select(F.col("font").alias("primary"))
-    space = F.col("char").rlike(f"^[{WS}]$")
-    order = Window.partitionBy(id_col).orderBy("pos")
-    told = chars.join(known, "char", "left").withColumn("own", F.when(~space, F.col("font")))
-    run = told.withColumn("at", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.join(F.broadcast(primary), how="left").withColumn("at", F.coalesce("at", "primary", F.lit(BASE["sans"])))  # one row
-    cut = run.withColumn("span", F.sum(F.coalesce((F.col("at") != F.lag("at").over(order)).cast("int"), F.lit(0))).over(order))
-    missing = F.when(~space & F.col("font").isNull(), F.col("char"))
-    joined = cut.groupBy(id_col, "span").agg(F.first("at").alias("font"), F.array_sort(F.collect_list(F.struct("pos", "char"))).alias("cs"), F.array_sort(F.collect_set(missing)).alias("missing"))
-    return joined.select(id_col, (F.col("span") + 1).cast("int").alias("span"), "font", F.array_join(F.transform("cs", lambda c: c["char"]), "").alias("text"), F.array_join("missing", "").alias("missing"))
+    """(id, span, font, text, missing): each text as spans of one font. White space and what no font shows stay where they stand.
+
+    The chain, a few rows, is read at once. Texts stay in their rows, each a text of its own: there is no shuffle.
+    """
+    chain = sorted(((r["ord"], r["font"], [(x["low"], x["high"]) for x in r["ranges"] or []]) for r in fonts.select("ord", "font", "ranges").collect()), key=lambda r: (r[0], r[1] or ""))
+    primary = next((font for at, font, _ in chain if at == 1 and font is not None), BASE["sans"])
+    names = sorted({font for _, font, _ in chain if font is not None} | {primary})
+    place = {font: i for i, font in enumerate(names)} | {None: _GONE}
+    ranges = [(place[font], max(low, 0), high + 1) for _, font, own in reversed(chain) for low, high in own if high >= 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.full(_CODES, _GONE, np.int32)
+        for font, low, end in ranges:
+            table[low:end] = font
+        table[_SPACES] = _BLANK
+        fonts = pa.array(names, pa.string())
+        for batch in batches:
+            kind, column = batch.column(1).type, batch.column(1).cast(pa.large_binary())
+            if not len(column):
+                continue
+            _, ends, data = column.buffers()
+            ends, data = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1], np.frombuffer(data, np.uint8)
+            at = 0
+            while at < len(column):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+                own = ends[at : to + 1]
+                begins, shown, span, places, lengths = _runs(data, own, table, place[primary])
+                text = np.searchsorted(own, begins, "right") - 1
+                number = np.arange(1, len(text) + 1) - np.searchsorted(text, text)
+                held = np.cumsum(lengths)
+                spots = np.repeat(places - (held - lengths), lengths) + np.arange(held[-1] if len(held) else 0)
+                missing = np.append(0, np.cumsum(np.bincount(span, lengths, len(text)))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(text + at)), pa.array(number, pa.int32()), fonts.take(pa.array(shown)), _texts(kind, np.append(begins, own[-1]) - own[0], data[own[0] : own[-1]]), _texts(kind, missing, data[spots])],
+                    names=[id_col, "span", "font", "text", "missing"],
+                )
+                at = to
+
+    texts = df.select(id_col, F.col(text_col).cast("string").alias("text")).filter("text <> ''")
+    id_type = df.select(id_col).schema[0].dataType.simpleString()
+    return texts.mapInArrow(run, f"`{id_col}` {id_type}, span int, font string, text string, missing string")
 
 
 def coverage(df: DataFrame, chains: dict[str, DataFrame], id_col: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,36 @@ def test_spans(spark, chain):
     assert lone["font"] == "Helvetica"
 
 
+def test_spans_stay_in_their_rows(spark, chain, capsys):
+    fonts.font_spans(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), chain).explain()
+    assert not {"Exchange", "Generate", "Window"} & set(capsys.readouterr().out.replace("(", " ").split())  # no character leaves its text
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 5, 1 << 20])
+def test_spans_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(fonts, "PIECE", piece)
+    table = np.full(0x110000, fonts._GONE, np.int32)
+    for font, low, high in ((0, 32, 126), (1, 913, 969), (1, 128512, 128512)):
+        table[low : high + 1] = font
+    table[fonts._SPACES] = fonts._BLANK
+    texts = ["αЖ Жb", "ЖЖ", "b\U0001f600\U0001f601\u2003日 α", "\0", "β"]
+    raw = [t.encode() for t in texts]
+    begins, shown, span, places, lengths = fonts._runs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), table, 0)
+    want, gone, at, n = [], [], 0, -1
+    for text in texts:
+        font, last = 0, None
+        for c in text:
+            font = table[ord(c)] if table[ord(c)] >= 0 else font
+            if font != last:
+                want.append((at, font))
+                n, last = n + 1, font
+            if table[ord(c)] == fonts._GONE:
+                gone.append((n, c))
+            at += len(c.encode())
+    assert list(zip(begins, shown)) == want
+    assert [(s, b"".join(raw)[p : p + k].decode()) for s, p, k in zip(span, places, lengths)] == sorted(set(gone))
+
+
 def test_issues(spark, chain):
     texts = spark.createDataFrame([(1, "body", "regular", "ab ЖЗ"), (1, "heading", "bold", "α"), (2, "body", "bold", "plain")], "doc_id long, role string, style string, text string")
     found = fonts.coverage(texts, {"body": chain, "heading": chain})
